@@ -142,12 +142,13 @@ def near_links(fps: DataFrame, bits: int = 3) -> DataFrame:
     components; each link holds. Every pair that close is connected through such links."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one wildcard cover at most three differing bits")
-    spread = fps.select("fp", F.explode(_variants("fp", F.lit(0).cast("long"), 32, 2, 0)).alias("key"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # each row becomes 64: dealt out first, as a few small files would else be exploded by as few tasks
+    spread = fps.repartition(n).select("fp", F.explode(_variants("fp", F.lit(0).cast("long"), 32, 2, 0)).alias("key"))
     sized = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
     sized = materialize(sized, "keys")
     pairs = sized.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
     met = materialize(spread.join(sized.filter("n > 2").select("key", (F.col("n") > HOT).alias("hot")), "key"), "members")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = met.filter("not hot").select("key", "fp")
     # segment s was matched, so the other half is 32 * (1 - s) bits up; (s, position) stand above the segment's 32 bits
     halves = [met.filter("hot").filter(F.shiftright("key", 37) == s).select("fp", F.explode(_variants("fp", F.shiftleft("key", 21), 16, 2, 32 * (1 - s))).alias("key")).select("key", "fp") for s in (0, 1)]
