@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from granary.functions import profiles as P
 from granary.functions import text as T
 from granary.operators import build, chunking, evaluation, graph, retrieval, summary
+from granary.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,7 +32,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return _t(spark, d, "documents").select("doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def _questions(spark, d):
