@@ -208,13 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rate = min(max(share.get(1, 0) / max(1, n), 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(rate / (1 - rate))))
     chosen = {r.doc_id: r.y for y in (0, 1) for r in own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]).collect()}
-    rows = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text"))
+    # rows that share an id count as one, so that the sample is bounded whatever repeats
+    rows = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
     vocabulary, windows, labels_, owners, checked = Vocabulary(), [], [], [], []
     for r in sorted(((r.doc_id, bytes(r.text)) for r in rows.toLocalIterator()), key=lambda r: r):
         words, y = tokens(r[1]), chosen[r[0]]
         rng = np.random.default_rng(r[0] & 0x7FFFFFFF)
         if rng.random() < 0.25:
-            checked.append((words[: WINDOW * 8192], y))
+            checked.append((r[1], y))
             continue
         starts = range(0, len(words), WINDOW)
         for s in sorted(rng.choice(len(starts), min(WINDOWS, len(starts)), replace=False).tolist()):
@@ -224,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(labels_)) < 2 or len({y for _, y in checked}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share[1] / share[0])))
     model = Model(*_fit(windows, np.array(labels_), np.unique(owners, return_inverse=True)[1], vocabulary))
-    x, y = np.array([model.logit(w) for w, _ in checked]), np.array([float(y) for _, y in checked])
+    x, y = np.array([model.logit(tokens(t)) for t, _ in checked]), np.array([float(y) for _, y in checked])
     weight = np.where(y == 1, share[1] / n / y.mean(), share[0] / n / (1 - y.mean()))
     model.scale, model.shift = _calibrate(x, y, weight)
     return model
