@@ -9,6 +9,10 @@ Groups that meet under one key are never expanded into pairs:
 - keys with up to HOT members are linked in a streaming pass that keeps one key in memory and emits a spanning forest;
 - larger ones are dealt out again by one-wildcard variants of the other half (two quarters of 16 bits). Such a sub-key
   fixes 46 of 64 bits, so it holds at most 2**18 distinct fingerprints, whatever the input: exact, and bounded.
+
+For near-duplicates by a similarity of word shingles, a fingerprint of the shingles is no help: texts with four fifths of
+their five-word shingles in common differ in some ten bits of it. Fingerprints of the distinct words differ in about four,
+so several of those find the candidates, and the shingles of both texts decide.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm._shared import materialize, utf8
+from granary.llm._shared import discard, materialize, utf8
 from granary.llm.components import connected_components
 
 HOT = 2048  # members of a key beyond which it is dealt out again
 BLOCK = 1 << 16  # shingle hashes counted at a time
+PRINTS = 4  # fingerprints of distinct words by which candidates for a similarity of shingles are found
+LOOSE = 8  # bits that two of those may differ in for the texts to be compared
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -99,7 +105,7 @@ def _near_grid(x: np.ndarray, bits: int) -> np.ndarray:
 def _link(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the fingerprints of one key."""
     x = np.unique(x)
-    comp = _near_all(x, bits) if len(x) <= 2 * HOT else _near_grid(x, bits)
+    comp = _near_all(x, bits) if len(x) <= 2 * HOT else _near_grid(x, min(bits, 3))
     own = comp != np.arange(len(x))
     return x[own], x[comp[own]]
 
@@ -138,10 +144,9 @@ def _variants(column: str, base, width: int, segments: int, shift: int) -> "F.Co
 
 
 def near_links(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """fps: distinct (fp long). Returns (a, b): enough links between fingerprints at most three bits apart to give their
-    components; each link holds. Every pair that close is connected through such links."""
-    if not 0 <= bits <= 3:
-        raise ValueError("two segments with one wildcard cover at most three differing bits")
+    """fps: distinct (fp long). Returns (a, b): links between fingerprints at most `bits` apart. Every pair at most
+    min(bits, 3) apart is connected through such links, which is what two segments with one wildcard cover. With more bits,
+    so are pairs that have a segment in common but for one bit, in keys of up to HOT members."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # each row becomes 64: dealt out first, as a few small files would else be exploded by as few tasks
     spread = fps.repartition(n).select("fp", F.explode(_variants("fp", F.lit(0).cast("long"), 32, 2, 0)).alias("key"))
@@ -162,6 +167,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Whole texts count; null and blank texts have fingerprint 0 and link like any other. Repeated rows and ids stay. A row
     with a null id gets the component of its fingerprint but is never a component's name (null if only such rows have
     it). Other columns, whatever their names, are not read. An empty table gives an empty result."""
+    if not 0 <= bits <= 3:
+        raise ValueError("two segments with one wildcard cover at most three differing bits")
     each = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(shingle)(utf8(text_col)).alias("fp")), "fingerprints")
     least = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = connected_components(near_links(least.select("fp"), bits)).select(F.col("id").alias("fp"), "component")
@@ -171,9 +178,97 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _words(data: bytes) -> list[bytes]:
+    return data.lower().split()
+
+
+def text_key(data: bytes) -> bytes:
+    """Equal for texts of equal words."""
+    return xxhash.xxh128_digest(b" ".join(_words(data)))
+
+
+def word_fingerprints(data: bytes, prints: int) -> list[int]:
+    """Independent signed 64-bit SimHash fingerprints of the distinct words."""
+    words = list(set(_words(data)))
+    out = []
+    for seed in range(prints):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(words), BLOCK):
+            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words[at : at + BLOCK]), np.uint64)
+            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(words), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(data: bytes, shingle: int) -> set[bytes]:
+    """Distinct shingles of words; of fewer words, the whole sequence; none without words."""
+    words = _words(data)
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def _describe_udf(prints: int):
+    kind = pa.struct([("key", pa.binary()), ("prints", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("struct<key: binary, prints: array<long>>")
+    def describe(texts: pa.Array) -> pa.Array:
+        each = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts)
+        return pa.array([{"key": text_key(t), "prints": word_fingerprints(t, prints)} for t in each], kind)
+
+    return describe.asNondeterministic()
+
+
+def _similar_udf(shingle: int, similarity: float):
+    @F.arrow_udf("boolean")
+    def similar(one: pa.Array, other: pa.Array) -> pa.Array:
+        out, last, a = [], None, set()
+        for x, y in zip(one, other, strict=True):
+            x, y = x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()
+            if x != last:
+                last, a = x, shingles(x, shingle)
+            b = shingles(y, shingle)
+            both = len(a & b)
+            out.append(both >= similarity * (len(a) + len(b) - both))
+        return pa.array(out, pa.bool_())
+
+    return similar.asNondeterministic()
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS) -> DataFrame:
+    """(name, component) of each distinct text of docs: the least id that has it, and the least name among the texts that it
+    reaches by links. A link is a Jaccard similarity of the word shingles of `similarity` or more, and is always verified on
+    the whole texts. Candidates are texts with a fingerprint of their distinct words, out of `prints` independent ones,
+    that shares a segment but for one bit and is within LOOSE bits; of those that share a fingerprint, each meets the least. So a link between texts can be missed
+    where none of the fingerprints is close, or where the forest of a fingerprint's group ran through texts less alike.
+
+    Null and blank texts have no shingles and are one text. Rows without an id are left out; texts of rows that share an id
+    are one document. An empty table gives an empty result."""
+    base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("name"), utf8(text_col).alias("text"))
+    each = base.select("name", _describe_udf(prints)("text").alias("d")).select("name", "d.key", "d.prints")
+    distinct = materialize(each.groupBy("key").agg(F.min("name").alias("name"), F.min("prints").alias("prints")).select("name", "prints"), "distinct-texts")
+    met = []
+    for k in range(prints):
+        own = distinct.select("name", F.element_at("prints", k + 1).alias("fp"))
+        least = materialize(own.groupBy("fp").agg(F.min("name").alias("rep")), "least")
+        same = own.join(least, "fp").filter("name <> rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
+        one, other = (least.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b"))
+        near = near_links(least.select("fp"), LOOSE).join(one, "a").join(other, "b")
+        met.append(materialize(near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).union(same), "met"))
+        discard(near)
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.union(more)
+    pairs = materialize(pairs.filter("a <> b").distinct(), "candidates")
+    needed = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
+    texts = materialize(base.join(needed, "name", "left_semi").groupBy("name").agg(F.min("text").alias("text")), "candidate-texts")
+    one, other = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+    links = pairs.join(one, "a").join(other, "b").filter(_similar_udf(shingle, similarity)("text_a", "text_b")).select("a", "b")
+    found = connected_components(links).select(F.col("id").alias("name"), "component")
+    return distinct.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one whose id names it. Rows that share an id count as one
-    document, of which any one row stays; rows without an id can't be named and stay."""
-    keepers = simhash_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    """docs with one document of each group of similar_components: the one whose id names it. Rows that share an id count as
+    one document, of which any one row stays; rows without an id can't be named and stay."""
+    keepers = similar_components(docs, id_col, text_col, **how).filter("name = component").select(F.col("name").alias("__keep"))
     kept = docs.join(keepers, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

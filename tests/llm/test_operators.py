@@ -62,6 +62,40 @@ def test_simhash(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in spread) == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
 
 
+def plain_similar(texts, shingle=5, similarity=0.8):
+    """The least index that each text reaches by links of five-word similarity."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode()) for t in texts]
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set() for w in words]
+    name = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    for _ in range(len(texts)):
+        before = list(name)
+        for i, j in near:
+            name[i] = name[j] = min(name[i], name[j])
+        if name == before:
+            return name
+
+
+def edited(text, r, share):
+    words = text.split()
+    for _ in range(max(1, int(share * len(words)))):
+        words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_simhash_similar_components(spark):
+    r = random.Random(31)
+    base = prose(32, 60, 3000)
+    texts = base + base[:4] + [edited(t, r, 0.01) for t in base[:40]] + [edited(t, r, 0.15) for t in base[:20]] + [t + " more" for t in base[40:50]] + ODD
+    name = plain_similar(texts)
+    got = {x["name"]: x["component"] for x in simhash.similar_components(documents(spark, texts, True)).collect()}
+    least = {i: min(j for j, u in enumerate(texts) if simhash.text_key((u or "").encode()) == simhash.text_key((t or "").encode())) for i, t in enumerate(texts)}
+    assert set(got) == set(least.values())
+    assert all(name[i] == name[got[least[i]]] for i in least)  # no text is grouped with one that it doesn't reach
+    copies = [i for i in least if name[i] != i]
+    assert len(copies) > 40 and sum(got[least[i]] == name[i] for i in copies) >= 0.9 * len(copies)
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
