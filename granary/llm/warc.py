@@ -12,6 +12,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import zstandard
@@ -75,7 +76,8 @@ def skippable(content: bytes) -> bytes:
 
 
 def archive_frames(records: Iterator[bytes], level: int = LEVEL) -> Iterator[tuple[int, bytes]]:
-    """(records in it, bytes) of each part of an archive: the dictionary's frame, then one frame for each record."""
+    """(records in it, bytes) of each part of an archive: the dictionary's frame, then one frame for each record. Takes no
+    more records once ARCHIVE_BYTES are reached, and leaves none that it took unwritten."""
     held, size = [], 0
     for r in records:
         held.append(r)
@@ -85,10 +87,16 @@ def archive_frames(records: Iterator[bytes], level: int = LEVEL) -> Iterator[tup
     trained = dictionary(held)
     yield 0, skippable(trained)
     to = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_content_size=True, write_checksum=True)
-    for part in (held, records):
-        for r in part:
-            yield 1, to.compress(r)
-        held = []
+    size = 0
+    for r in held:
+        frame = to.compress(r)
+        size += len(frame)
+        yield 1, frame
+    held = []
+    while size < ARCHIVE_BYTES and (r := next(records, None)) is not None:
+        frame = to.compress(r)
+        size += len(frame)
+        yield 1, frame
 
 
 def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -117,30 +125,27 @@ def _writer(folder: str):
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
 
+        taken = written = 0
+
         def records() -> Iterator[bytes]:
+            nonlocal taken
             for b in batches:
                 for page_id, url, payload, digest, kind, refers_to in zip(*(b.column(i) for i in range(6)), strict=True):
+                    taken += 1
                     yield record(page_id.as_py(), url.as_py(), payload.as_py(), digest.as_py(), kind.as_py(), refers_to.as_py())
 
-        source, more = records(), True
-        while more:
-            first = next(source, None)
-            if first is None:
-                return
-            name, n, size, more = f"{uuid.uuid4().hex}.warc.zst", 0, 0, False
-
-            def chained(first=first):
-                yield first
-                yield from source
-
+        source = records()
+        while (first := next(source, None)) is not None:
+            name, n, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
             with store.open_output_stream(f"{root}/{name}", compression=None) as to:
-                for k, frame in archive_frames(chained()):
+                for k, frame in archive_frames(chain([first], source)):  # chain leaves source open for the next archive
                     to.write(frame)
                     n, size = n + k, size + len(frame)
-                    if size >= ARCHIVE_BYTES:
-                        more = True
-                        break
+            written += n
             yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        rows = taken + sum(b.num_rows for b in batches)
+        if written != rows:
+            raise ValueError(f"{written} records of {rows} rows were written")
 
     return run
 

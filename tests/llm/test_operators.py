@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -146,6 +147,19 @@ def test_warc_archives_roll_over_and_carry_their_dictionary(monkeypatch):
         list(warc.read_archive(data[:-5]))
 
 
+@pytest.mark.parametrize("sample", [1000, 1 << 20])
+def test_warc_writer_goes_on_after_an_archive_is_full(monkeypatch, tmp_path, sample):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "SAMPLE_BYTES", sample)
+    rows = [(i, "u", t.encode(), hashlib.sha256(t.encode()).hexdigest(), "response", None) for i, t in enumerate(prose(17, 80))]
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64())
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 30]], k) for i, k in enumerate(kinds)], names=list("abcdef")) for at in range(0, 80, 30)]
+    manifest = [r for b in warc._writer(f"file://{tmp_path}")(iter(batches)) for r in b.to_pylist()]
+    assert sum(m["records"] for m in manifest) == 80 and (len(manifest) > 1 or sample > 1000)
+    back = [(int(h["X-Page-Id"]), body) for m in manifest for h, body in warc.read_archive((tmp_path / m["archive"]).read_bytes())]
+    assert sorted(back) == [(r[0], r[2]) for r in rows]
+
+
 def plain_secrets(text):
     text = text or ""
     found = []
