@@ -10,9 +10,10 @@ Groups that meet under one key are never expanded into pairs:
 - larger ones are dealt out again by one-wildcard variants of the other half (two quarters of 16 bits). Such a sub-key
   fixes 46 of 64 bits, so it holds at most 2**18 distinct fingerprints, whatever the input: exact, and bounded.
 
-For near-duplicates by a similarity of word shingles, a fingerprint of the shingles is no help: texts with four fifths of
-their five-word shingles in common differ in some ten bits of it. Fingerprints of the distinct words differ in about four,
-so several of those find the candidates, and the shingles of both texts decide.
+Near-duplicates by a similarity of word shingles are found exactly, whatever the size of a group. Put in one order, two sets
+of n shingles that have at least the share t of each in common have one in common among their first n - ceil(t * n) + 1, so
+an equality join on those brings every such pair together. Parity maps of the sets rule out most of the others, and the
+shingles of both texts decide.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from granary.llm.components import connected_components
 
 HOT = 2048  # members of a key beyond which it is dealt out again
 BLOCK = 1 << 16  # shingle hashes counted at a time
-PRINTS = 4  # fingerprints of distinct words by which candidates for a similarity of shingles are found
-LOOSE = 8  # bits that two of those may differ in for the texts to be compared
+BLOCK_MEMBERS = 2048  # members of a shingle beyond which they are compared in pairs of blocks
+COMMON_OF = 16  # one id of so many counts to see which shingles are common
+COMMON_LEAST = 16  # texts of those that a common shingle has at least
+COMMON_MOST = 100_000  # common shingles that are told to every task
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -187,36 +190,82 @@ def text_key(data: bytes) -> bytes:
     return xxhash.xxh128_digest(b" ".join(_words(data)))
 
 
-def word_fingerprints(data: bytes, prints: int) -> list[int]:
-    """Independent signed 64-bit SimHash fingerprints of the distinct words."""
-    words = list(set(_words(data)))
-    out = []
-    for seed in range(prints):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(words), BLOCK):
-            h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words[at : at + BLOCK]), np.uint64)
-            counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(words), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingles(data: bytes, shingle: int) -> set[bytes]:
     """Distinct shingles of words; of fewer words, the whole sequence; none without words."""
     words = _words(data)
     return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def _describe_udf(prints: int):
-    kind = pa.struct([("key", pa.binary()), ("prints", pa.list_(pa.int64()))])
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """The same as sorted 64-bit hashes."""
+    words = _words(data)
+    if not words:
+        return np.empty(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    each, width = np.array([digest(w) for w in words], np.uint64), min(shingle, len(words))
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
+    for k in range(width):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """So many of a set's first hashes that every set of that similarity has one of them among its own first: those of
+    `common` come last, by rank, which keeps keys small and never changes what meets a similar set."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common[at] == hashes, rank[at], 0)))]
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of hashes fall on each bit of a map of 2 to 4 bits a hash. Each hash that two sets don't
+    have in common changes one bit, so their maps differ in no more bits than the sets in hashes."""
+    width = 64 << max(0, (2 * len(hashes) - 1).bit_length() - 6)
+    return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").view("<u8")
 
-    @F.arrow_udf("struct<key: binary, prints: array<long>>")
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A wider map as one of so many words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def _apart(sizes, similarity: float):
+    """Hashes that two sets of that similarity, of so many in all, have at most not in common."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
+def _describe_udf(shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray):
+    kind = pa.struct([("key", pa.binary()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+
+    @F.arrow_udf("struct<key: binary, size: long, prefix: array<long>, bits: binary>")
     def describe(texts: pa.Array) -> pa.Array:
-        each = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts)
-        return pa.array([{"key": text_key(t), "prints": word_fingerprints(t, prints)} for t in each], kind)
+        out = []
+        for t in texts:
+            data = t.as_buffer().to_pybytes() if t.is_valid else b""
+            h = shingle_hashes(data, shingle)
+            out.append({"key": text_key(data), "size": len(h), "prefix": prefix(h, similarity, common, rank).view(np.int64), "bits": parities(h).tobytes()})
+        return pa.array(out, kind)
 
     return describe.asNondeterministic()
 
 
+def _key_udf():
+    @F.arrow_udf("binary")
+    def key(texts: pa.Array) -> pa.Array:
+        return pa.array([text_key(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], pa.binary())
+
+    return key.asNondeterministic()
+
+
 def _similar_udf(shingle: int, similarity: float):
     @F.arrow_udf("boolean")
     def similar(one: pa.Array, other: pa.Array) -> pa.Array:
@@ -233,42 +282,163 @@ def _similar_udf(shingle: int, similarity: float):
     return similar.asNondeterministic()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, prints: int = PRINTS) -> DataFrame:
-    """(name, component) of each distinct text of docs: the least id that has it, and the least name among the texts that it
-    reaches by links. A link is a Jaccard similarity of the word shingles of `similarity` or more, and is always verified on
-    the whole texts. Candidates are texts with a fingerprint of their distinct words, out of `prints` independent ones,
-    that shares a segment but for one bit and is within LOOSE bits; of those that share a fingerprint, each meets the least. So a link between texts can be missed
-    where none of the fingerprints is close, or where the forest of a fingerprint's group ran through texts less alike.
+def _possible_udf(similarity: float):
+    """False only of sets that are surely less similar, by their sizes and maps."""
+
+    @F.arrow_udf("boolean")
+    def possible(one: pa.Array, other: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = []
+        for x, y, n in zip(one, other, sizes.to_numpy().tolist(), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+            words = min(len(x), len(y))
+            out.append(int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()) <= _apart(n, similarity))
+        return pa.array(out, pa.bool_())
+
+    return possible.asNondeterministic()
+
+
+def _common(base: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that many texts have, sorted, and their ranks by it: counted on a sample, as only the cost depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_buffer().to_pybytes(), shingle).view(np.int64))], names=["h"])
+
+    sample = base.filter(F.pmod(F.xxhash64("name"), F.lit(COMMON_OF)) == 0).select("text").mapInArrow(run, "h long")
+    rows = sample.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST).orderBy(F.col("n").desc(), "h").limit(COMMON_MOST).collect()
+    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, node, size), sorted by key: rows of keys with several members, how many, and the least member with its size."""
+    names, held = ["key", "node", "size", "n", "rep", "rep_size"], [np.empty(0, np.int64)] * 3
+
+    def emit(key, node, size):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        n = np.diff(np.append(starts, len(key)))
+        order = np.lexsort((node, key))  # the first of a key's rows is its least member
+        many = np.repeat(n > 1, n)
+        rep, rep_size = np.repeat(node[order][starts], n), np.repeat(size[order][starts], n)
+        return pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (key, node, size, np.repeat(n, n), rep, rep_size)], names=names)
+
+    for b in batches:
+        held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
+        key = held[0]
+        if len(key) and key[0] != key[-1]:
+            cut = np.searchsorted(key, key[-1])  # the last key may go on in the next batch
+            yield emit(*(h[:cut] for h in held))
+            held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield emit(*held)
+
+
+def _across(node: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, bits: list[bytes], similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one key's members that may be similar and aren't linked yet, of different blocks where there are two: all
+    such pairs, or a forest of them."""
+    order = np.argsort(size, kind="stable")
+    node, comp, size, block = node[order], comp[order], size[order], block[order]
+    two, words = block.min() != block.max(), np.array([len(bits[i]) // 8 for i in order])
+    for w in np.unique(words):
+        at, end = int(np.searchsorted(words, w)), int(np.searchsorted(words, 2 * w, "right"))
+        maps = np.stack([_folded(np.frombuffer(bits[i], "<u8"), w) for i in order[at:end]])
+        for i in range(at, int(np.searchsorted(words, w, "right"))):
+            to = int(np.searchsorted(size, size[i] / similarity + 1e-6, "right"))
+            other = np.arange(i + 1, min(to, end))
+            other = other[comp[other] != comp[i]]
+            if two:
+                other = other[block[other] != block[i]]
+            if len(other):
+                other = other[np.bitwise_count(maps[other - at] ^ maps[i - at]).sum(1, dtype=np.int64) <= _apart(size[other] + size[i], similarity)]
+                if forest:
+                    joined, first = np.unique(comp[other], return_index=True)
+                    comp[np.isin(comp, joined)], other = comp[i], other[first]
+                yield np.minimum(node[i], node[other]), np.maximum(node[i], node[other])
+
+
+def _crosser(similarity: float, forest: bool):
+    """Of (key, low, high, block, node, comp, size, bits), sorted by the first three: pairs (a, b) by _across of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bits = np.empty((7, 0), np.int64), []
+
+        def emit(held, bits):
+            cuts = [0, *(np.flatnonzero((np.diff(held[:3], axis=1) != 0).any(0)) + 1).tolist(), held.shape[1]]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                _, _, _, block, node, comp, size = held[:, lo:hi]
+                if comp.min() != comp.max():
+                    for a, b in _across(node, comp, size, block, bits[lo:hi], similarity, forest):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(7)])], axis=1)
+            bits += batch.column(7).to_pylist()
+            last = np.flatnonzero((held[:3] != held[:3, -1:]).any(0))  # the last group may go on in the next batch
+            if len(last):
+                yield from emit(held[:, : last[-1] + 1], bits[: last[-1] + 1])
+                held, bits = held[:, last[-1] + 1 :], bits[last[-1] + 1 :]
+        if len(bits):
+            yield from emit(held, bits)
+
+    return run
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(name, key, component, kept) of each distinct text of docs: the least id that has it, what text_key gives for it, the
+    least name among the texts that it reaches by links, and whether it is the one text of those to keep. A link is a
+    Jaccard similarity of the word shingles of `similarity` or more; every link of distinct texts is found, but for those
+    that others imply, and verified on the whole texts.
 
-    Null and blank texts have no shingles and are one text. Rows without an id are left out; texts of rows that share an id
-    are one document. An empty table gives an empty result."""
+    Null and blank texts have no shingles and are one text. Rows without an id are left out; rows that share an id are of
+    different texts where their words differ. An empty table gives an empty result."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("name"), utf8(text_col).alias("text"))
-    each = base.select("name", _describe_udf(prints)("text").alias("d")).select("name", "d.key", "d.prints")
-    distinct = materialize(each.groupBy("key").agg(F.min("name").alias("name"), F.min("prints").alias("prints")).select("name", "prints"), "distinct-texts")
-    met = []
-    for k in range(prints):
-        own = distinct.select("name", F.element_at("prints", k + 1).alias("fp"))
-        least = materialize(own.groupBy("fp").agg(F.min("name").alias("rep")), "least")
-        same = own.join(least, "fp").filter("name <> rep").select(F.col("rep").alias("a"), F.col("name").alias("b"))
-        one, other = (least.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b"))
-        near = near_links(least.select("fp"), LOOSE).join(one, "a").join(other, "b")
-        met.append(materialize(near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).union(same), "met"))
-        discard(near)
-    pairs = met[0]
-    for more in met[1:]:
-        pairs = pairs.union(more)
-    pairs = materialize(pairs.filter("a <> b").distinct(), "candidates")
-    needed = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).distinct()
-    texts = materialize(base.join(needed, "name", "left_semi").groupBy("name").agg(F.min("text").alias("text")), "candidate-texts")
-    one, other = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
-    links = pairs.join(one, "a").join(other, "b").filter(_similar_udf(shingle, similarity)("text_a", "text_b")).select("a", "b")
-    found = connected_components(links).select(F.col("id").alias("name"), "component")
-    return distinct.select("name").distinct().join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+    each = base.select("name", _describe_udf(shingle, similarity, *_common(base, shingle))("text").alias("d"))
+    least = each.groupBy("d.key").agg(F.min(F.struct("name", "d.size", "d.prefix", "d.bits")).alias("d"))
+    distinct = materialize(least.select(F.monotonically_increasing_id().alias("node"), "key", "d.*"), "distinct-texts")
+    maps = distinct.select("node", "size", "bits")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of (a, b) that are similar."""
+        pairs = materialize(pairs.distinct(), "candidates")
+        needed = distinct.select("node", "name", "key").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        found = base.join(needed.select("name").distinct(), "name", "left_semi").withColumn("key", _key_udf()("text")).join(needed, ["name", "key"])
+        texts = materialize(found.groupBy("node").agg(F.min("text").alias("text")), "candidate-texts")
+        one, other = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
+        return materialize(pairs.join(one, "a").join(other, "b").filter(_similar_udf(shingle, similarity)("text_a", "text_b")).select("a", "b"), "links")
+
+    # each key's members are first compared with the least of them only, which links most of a group of copies
+    rows = distinct.select(F.explode("prefix").alias("key"), "node", "size").repartition(n, "key").sortWithinPartitions("key")
+    met = materialize(rows.mapInArrow(_meet, "key long, node long, size long, n long, rep long, rep_size long"), "met")
+    stars = met.filter((F.col("rep") != F.col("node")) & (F.least("size", "rep_size") >= similarity * F.greatest("size", "rep_size") - 1e-6)).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    one, other = (maps.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    stars = stars.join(one, "a").join(other, "b").filter(_possible_udf(similarity)("bits_a", "bits_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
+    found = connected_components(linked(stars)).select(F.col("id").alias("node"), "component")
+
+    # then all those with each other that a key brings together and no link does yet: along a forest first, so that a group
+    # of copies that its least member isn't like doesn't become all its pairs; large keys by pairs of blocks
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("long")
+    for forest in (True, False):
+        own = materialize(met.filter("n > 2").select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "own")
+        unsettled = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+        dealt = own.join(unsettled, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        dealt = dealt.join(maps, "node").select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "size", "bits")
+        pairs = dealt.repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(_crosser(similarity, forest), "a long, b long")
+        links = linked(pairs).union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = connected_components(links).select(F.col("id").alias("node"), "component")
+        discard(own)
+    found = found.withColumnRenamed("component", "group")
+    named = distinct.select("node", "name", "key").join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    first = named.groupBy("group").agg(F.min(F.struct("name", "key")).alias("first"))
+    return named.join(first, "group").select("name", "key", F.col("first.name").alias("component"), F.struct("name", "key").eqNullSafe(F.col("first")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one document of each group of similar_components: the one whose id names it. Rows that share an id count as
     one document, of which any one row stays; rows without an id can't be named and stay."""
-    keepers = similar_components(docs, id_col, text_col, **how).filter("name = component").select(F.col("name").alias("__keep"))
+    keepers = similar_components(docs, id_col, text_col, **how).filter("name = component").select(F.col("name").alias("__keep")).distinct()
     kept = docs.join(keepers, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

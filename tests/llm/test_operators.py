@@ -97,6 +97,23 @@ def test_simhash_similar_components(spark):
     assert len(copies) > 40 and sum(got[least[i]] == name[i] for i in copies) >= 0.9 * len(copies)
 
 
+def similar_groups(spark, texts):
+    """The component of each text by the operator, of texts that all differ."""
+    got = {x["name"]: x["component"] for x in simhash.similar_components(documents(spark, texts)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_simhash_compares_texts_that_their_least_is_unlike(spark):
+    r = random.Random(34)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for at in range(6):  # the same words in another order, and nearly that order
+        own = [f"{w}g{at}" for w in words]
+        other = r.sample(own, len(own))
+        texts += [" ".join(own), " ".join(other), " ".join([*other, "x", "y", "z"])]
+    assert similar_groups(spark, texts) == plain_similar(texts) == [i - (i % 3 == 2) for i in range(18)]
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
