@@ -114,6 +114,25 @@ def test_simhash_compares_texts_that_their_least_is_unlike(spark):
     assert similar_groups(spark, texts) == plain_similar(texts) == [i - (i % 3 == 2) for i in range(18)]
 
 
+def test_simhash_finds_inserted_deleted_and_moved_blocks(spark):
+    r, vocabulary = random.Random(35), [f"v{i}" for i in range(4000)]
+    weights = [1 / (i + 1) for i in range(4000)]
+    draw = lambda k: r.choices(vocabulary, weights, k=k)
+    texts = []
+    for i in range(60):
+        words = draw(r.randint(80, 400))
+        n = len(words)
+        texts.append(" ".join(words))
+        at, k = r.randrange(n // 2), int(n * r.uniform(0.08, 0.24))
+        added = [*words[:at], *draw(k), *words[at:]]
+        removed = [*words[:at], *words[at + k :]]
+        moved = [*words[:at], *words[at + k :], *words[at : at + k]]
+        texts.append(" ".join((added, removed, moved)[i % 3]))
+    want = plain_similar(texts)
+    assert sum(want[i] != i for i in range(len(texts))) > 30
+    assert similar_groups(spark, texts) == want
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
