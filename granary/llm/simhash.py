@@ -108,7 +108,7 @@ def _near_grid(x: np.ndarray, bits: int) -> np.ndarray:
 def _link(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the fingerprints of one key."""
     x = np.unique(x)
-    comp = _near_all(x, bits) if len(x) <= 2 * HOT else _near_grid(x, min(bits, 3))
+    comp = _near_all(x, bits) if len(x) <= 2 * HOT else _near_grid(x, bits)
     own = comp != np.arange(len(x))
     return x[own], x[comp[own]]
 
@@ -147,9 +147,10 @@ def _variants(column: str, base, width: int, segments: int, shift: int) -> "F.Co
 
 
 def near_links(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """fps: distinct (fp long). Returns (a, b): links between fingerprints at most `bits` apart. Every pair at most
-    min(bits, 3) apart is connected through such links, which is what two segments with one wildcard cover. With more bits,
-    so are pairs that have a segment in common but for one bit, in keys of up to HOT members."""
+    """fps: distinct (fp long). Returns (a, b): links between fingerprints at most `bits` apart. Every such pair is
+    connected through such links; two segments with one wildcard cover three bits, and so do the sub-keys of large keys."""
+    if not 0 <= bits <= 3:
+        raise ValueError("two segments with one wildcard cover at most three differing bits")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # each row becomes 64: dealt out first, as a few small files would else be exploded by as few tasks
     spread = fps.repartition(n).select("fp", F.explode(_variants("fp", F.lit(0).cast("long"), 32, 2, 0)).alias("key"))

@@ -133,6 +133,24 @@ def test_simhash_finds_inserted_deleted_and_moved_blocks(spark):
     assert similar_groups(spark, texts) == want
 
 
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_simhash_compares_large_keys_in_blocks(spark, monkeypatch, least):
+    """Copies of a template, most of them a little less alike than a link, with few members a block."""
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(simhash, "COMMON_OF", 1)
+    monkeypatch.setattr(simhash, "COMMON_LEAST", least)
+    r, base = random.Random(36), " ".join(f"t{i}" for i in range(150))
+    texts = [edited(base, r, r.choice([1, 2, 3, 4]) / 149) for _ in range(60)]
+    want = plain_similar(texts)
+    assert len(set(want)) > 5 and len(set(want)) < 55
+    assert similar_groups(spark, texts) == want
+
+
+def test_simhash_links_only_within_what_it_covers(spark):
+    with pytest.raises(ValueError):
+        simhash.near_links(spark.createDataFrame([(1,)], "fp long"), 8)
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
