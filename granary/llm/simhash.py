@@ -438,8 +438,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document of each group of similar_components: the one whose id names it. Rows that share an id count as
-    one document, of which any one row stays; rows without an id can't be named and stay."""
-    keepers = similar_components(docs, id_col, text_col, **how).filter("name = component").select(F.col("name").alias("__keep")).distinct()
-    kept = docs.join(keepers, F.col(id_col).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_col])
+    """docs with one text of each group of similar_components: of those of its least id, the one of the least key. Rows of
+    one id count as one document where their words are equal, of which any one row stays; each other text of a shared id
+    goes only if it is itself a near-duplicate of one that stays. Rows without an id can't be named and stay."""
+    keepers = similar_components(docs, id_col, text_col, **how).filter("kept").select(F.col("name").alias("__keep"), F.col("key").alias("__key"))
+    keyed = docs.filter(F.col(id_col).isNotNull()).withColumn("__own", _key_udf()(utf8(text_col)))
+    kept = keyed.join(keepers, (F.col(id_col).cast("long") == F.col("__keep")) & (F.col("__own") == F.col("__key")), "left_semi").dropDuplicates([id_col, "__own"]).drop("__own")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -151,6 +151,13 @@ def test_simhash_links_only_within_what_it_covers(spark):
         simhash.near_links(spark.createDataFrame([(1,)], "fp long"), 8)
 
 
+def test_simhash_keep_one_tells_texts_of_one_id_apart(spark):
+    a, b, c = prose(37, 3, 3000)
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c + " more words"), (3, c), (3, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, a), (1, b), (2, c + " more words")])
+
+
 def test_simhash_links_in_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     r = random.Random(3)
