@@ -4,11 +4,12 @@ A 64-bit fingerprint is cut into two 32-bit segments. Two fingerprints that diff
 that differs in at most one, so they meet in an equality join on that segment with one position masked (32 masks for each
 segment). Meetings are verified on the whole fingerprint. Only distinct fingerprints are indexed, so copies cost nothing.
 
-Groups that meet under one key are never expanded into pairs:
-- keys with two members are verified in the aggregate that finds them;
-- keys with up to HOT members are linked in a streaming pass that keeps one key in memory and emits a spanning forest;
-- larger ones are dealt out again by one-wildcard variants of the other half (two quarters of 16 bits). Such a sub-key
-  fixes 46 of 64 bits, so it holds at most 2**18 distinct fingerprints, whatever the input: exact, and bounded.
+One shuffle brings the members of each key together, in order of keys, and each pair is told by the lowest key that both
+share, so that a pair that meets under many keys is told once. Groups that meet under one key are never expanded into pairs:
+- keys with up to HOT members are linked in a streaming pass that keeps one key in memory and emits edges of a spanning forest;
+- larger ones are known beforehand, from counts of whole segments (a key has the members of two), and are dealt out by
+  one-wildcard variants of the other half (two quarters of 16 bits) instead. Such a sub-key fixes 46 of 64 bits, so it holds at
+  most 2**18 distinct fingerprints, whatever the input: exact, and bounded.
 
 Near-duplicates by a similarity of word shingles are found exactly, whatever the size of a group. Put in one order, two sets
 of n shingles that have at least the share t of each in common have one in common among their first n - ceil(t * n) + 1, so
@@ -65,22 +66,24 @@ def fingerprint_udf(shingle: int = 3):
     return fingerprint.asNondeterministic()
 
 
-def _near_all(x: np.ndarray, bits: int) -> np.ndarray:
-    """The component of each fingerprint, as the index of a member; compares with what is not yet reached only."""
-    comp = np.full(len(x), -1)
-    left = np.arange(len(x))
+def _forest(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs of x that are near; compares with what is not yet reached only."""
+    one, other, left = [], [], np.arange(len(x))
     while len(left):
-        seed, left = left[0], left[1:]
-        comp[seed], front = seed, np.array([seed])
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
-            hit = np.zeros(len(left), bool)
+            found = []
             for f in front:
-                hit |= np.bitwise_count(x[left] ^ x[f]) <= bits
-                if hit.all():
-                    break
-            front, left = left[hit], left[~hit]
-            comp[front] = seed
-    return comp
+                hit = np.bitwise_count(x[left] ^ x[f]) <= bits
+                if hit.any():
+                    found.append(left[hit])
+                    one.append(found[-1])
+                    other.append(np.full(len(found[-1]), f))
+                    left = left[~hit]
+                    if not len(left):
+                        break
+            front = np.concatenate(found) if found else np.empty(0, np.int64)
+    return tuple(x[np.concatenate(side)] if side else x[:0] for side in (one, other))
 
 
 def _near_grid(x: np.ndarray, bits: int) -> np.ndarray:
@@ -106,32 +109,77 @@ def _near_grid(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _link(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the fingerprints of one key."""
+    """Edges that connect what is near among the fingerprints of one sub-key."""
     x = np.unique(x)
-    comp = _near_all(x, bits) if len(x) <= 2 * HOT else _near_grid(x, bits)
+    if len(x) <= 2 * HOT:
+        return _forest(x, bits)
+    comp = _near_grid(x, bits)
     own = comp != np.arange(len(x))
     return x[own], x[comp[own]]
 
 
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and fingerprints of rows (key, fp) in order of keys, whole keys at a time."""
+    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy()])
+        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+        if len(keys) and keys[0] != keys[-1]:
+            cut = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
+            yield keys[:cut], fps[:cut]
+            keys, fps = keys[cut:], fps[cut:]
+    if len(keys):
+        yield keys, fps
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def _lowest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(segment, position) of the lowest key that two fingerprints share, as 32 * segment + position; 64 where there is none."""
+    out = np.full(len(a), 64, np.int64)
+    for s in (1, 0):
+        part = ((a ^ b) >> np.uint64(32 * s)) & np.uint64(0xFFFFFFFF)
+        shared = np.bitwise_count(part) <= 1
+        out[shared] = 32 * s + np.bitwise_count(np.maximum(part[shared], np.uint64(1)) - np.uint64(1))
+    return out
+
+
 def _linker(bits: int):
+    """Of (key, fp): edges under the lowest key that their ends share. They connect every near pair: those of a forest that
+    are left out share a lower key, under which others connect them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        for keys, fps in _by_key(batches):
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+            size = np.diff(starts, append=len(keys))
+            place = keys[starts] >> 32
+            bit = (fps >> np.repeat(place, size).astype(np.uint64)) & np.uint64(1)
+            ones = np.add.reduceat(bit.astype(np.int64), starts)
+            # beyond a segment's position 0, only members that differ there have no lower key in common
+            apart = (size > 1) & ((place % 32 == 0) | ((ones > 0) & (ones < size)))
+            two = starts[apart & (size == 2)]
+            a, b = [fps[two]], [fps[two + 1]]
+            for at, n in zip(starts[apart & (size > 2)].tolist(), size[apart & (size > 2)].tolist(), strict=True):
+                one, other = _forest(fps[at : at + n], bits)
+                a.append(one)
+                b.append(other)
+            held = np.concatenate([place[apart & (size == 2)], *[np.full(len(x), p) for x, p in zip(a[1:], place[apart & (size > 2)].tolist(), strict=True)]])
+            one, other = np.concatenate(a), np.concatenate(b)
+            told = (np.bitwise_count(one ^ other) <= bits) & (_lowest(one, other) == held)
+            yield _edges([one[told]], [other[told]])
 
-        def emit(keys, fps):
-            cuts = np.flatnonzero(np.diff(keys)) + 1
-            out = [_link(part, bits) for part in np.split(fps, cuts) if len(part) > 1]
-            a, b = (np.concatenate([o[i] for o in out] or [np.empty(0, np.uint64)]).view(np.int64) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    return run
 
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys) and keys[0] != keys[-1]:
-                cut = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch
-                yield emit(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-        if len(keys):
-            yield emit(keys, fps)
+
+def _sub_linker(bits: int):
+    """Of (sub-key, fp): edges that connect what is near under each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, fps in _by_key(batches):
+            found = [_link(part, bits) for part in np.split(fps, np.flatnonzero(np.diff(keys)) + 1) if len(part) > 1]
+            yield _edges([f[0] for f in found], [f[1] for f in found])
 
     return run
 
@@ -146,23 +194,50 @@ def _variants(column: str, base, width: int, segments: int, shift: int) -> "F.Co
     return F.array(*out)
 
 
+def _large_keys(fps: DataFrame) -> DataFrame:
+    """(s, v, hot, spare) of segment values, as maps of positions: those where the key of the value has over HOT members, and
+    those of a frequent value where no other meets it, so that position 0 stands for them."""
+    halves = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.shiftrightunsigned("fp", 32 * s).bitwiseAND(F.lit(0xFFFFFFFF)).alias("v")) for s in (0, 1)]))
+    counts = materialize(fps.select(halves.alias("h")).groupBy("h.s", "h.v").agg(F.count("*").alias("n")), "segments")
+    beside = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("v").bitwiseXOR(F.lit(1 << p)).alias("w")) for p in range(32)]))
+    often = counts.filter(F.col("n") >= HOT // 2).select("s", "v", "n", beside.alias("x")).select("s", "v", "n", "x.p", "x.w")
+    met = often.join(counts.select(F.col("s").alias("t"), F.col("v").alias("u"), F.col("n").alias("m")), (F.col("s") == F.col("t")) & (F.col("w") == F.col("u")), "left")
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), "p")
+    hot = (F.col("n") + F.coalesce("m", F.lit(0)) > HOT) & ((F.col("p") == 0) | F.col("m").isNotNull())
+    own = met.select("s", "v", F.when(hot, place).otherwise(0).alias("hot"), F.when((F.col("p") > 0) & F.col("m").isNull(), place).otherwise(0).alias("spare"))
+    others = met.filter(hot & F.col("m").isNotNull()).select("s", F.col("w").alias("v"), place.alias("hot"), F.lit(0).cast("long").alias("spare"))
+    return materialize(own.union(others).groupBy("s", "v").agg(F.bit_or("hot").alias("hot"), F.bit_or("spare").alias("spare")), "large-keys")
+
+
 def near_links(fps: DataFrame, bits: int = 3) -> DataFrame:
     """fps: distinct (fp long). Returns (a, b): links between fingerprints at most `bits` apart. Every such pair is
     connected through such links; two segments with one wildcard cover three bits, and so do the sub-keys of large keys."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one wildcard cover at most three differing bits")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = _variants("fp", F.lit(0).cast("long"), 32, 2, 0)
+    link = lambda rows, how: rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(how, "a long, b long")
     # each row becomes 64: dealt out first, as a few small files would else be exploded by as few tasks
-    spread = fps.repartition(n).select("fp", F.explode(_variants("fp", F.lit(0).cast("long"), 32, 2, 0)).alias("key"))
-    sized = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1")
-    sized = materialize(sized, "keys")
-    pairs = sized.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b").distinct()
-    met = materialize(spread.join(sized.filter("n > 2").select("key", (F.col("n") > HOT).alias("hot")), "key"), "members")
-    few = met.filter("not hot").select("key", "fp")
-    # segment s was matched, so the other half is 32 * (1 - s) bits up; (s, position) stand above the segment's 32 bits
-    halves = [met.filter("hot").filter(F.shiftright("key", 37) == s).select("fp", F.explode(_variants("fp", F.shiftleft("key", 21), 16, 2, 32 * (1 - s))).alias("key")).select("key", "fp") for s in (0, 1)]
-    linked = [part.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linker(bits), "a long, b long") for part in (few, halves[0].union(halves[1]))]
-    return pairs.union(linked[0]).union(linked[1]).distinct()
+    spread, large = fps.repartition(n), _large_keys(fps)
+    if large.isEmpty():
+        return link(spread.select(F.explode(variants).alias("key"), "fp").select("key", "fp"), _linker(bits))
+    for s in (0, 1):
+        own = large.filter(F.col("s") == s).select(F.col("v").alias(f"v{s}"), F.col("hot").alias(f"hot{s}"), F.col("spare").alias(f"spare{s}"))
+        spread = spread.join(own, F.shiftrightunsigned("fp", 32 * s).bitwiseAND(F.lit(0xFFFFFFFF)) == F.col(f"v{s}"), "left")
+    spread = materialize(spread.select("fp", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hot0", "hot1", "spare0", "spare1")]), "spread")
+    shift = lambda c, by: F.call_function("shiftright", c, by).bitwiseAND(F.lit(1).cast("long"))
+    taken = [F.col(f"hot{s}").bitwiseOR(F.col(f"spare{s}")) for s in (0, 1)]
+    kept = F.filter(variants, lambda _, i: shift(F.when(i < 32, taken[0]).otherwise(taken[1]), F.pmod(i, F.lit(32))) == 0)
+    few = spread.select("fp", F.explode(kept).alias("key")).select("key", "fp")
+    places = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda p: shift(F.col("__hot"), p) == 1)
+    parts = []
+    for s in (0, 1):  # the other half is 32 * (1 - s) bits up; (s, position) and the segment's other bits stand above the sub-key
+        segment = F.shiftrightunsigned("fp", 32 * s).bitwiseAND(F.lit(0xFFFFFFFF))
+        rows = spread.filter(F.col(f"hot{s}") != 0).select("fp", F.col(f"hot{s}").alias("__hot")).select("fp", segment.alias("v"), F.explode(places).alias("p"))
+        rest = F.col("v").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), "p")))
+        above = F.shiftleft(F.shiftleft(F.col("p").cast("long") + 32 * s, 32).bitwiseOR(rest), 21)
+        parts.append(rows.select("fp", above.alias("above")).select("fp", F.explode(_variants("fp", F.col("above"), 16, 2, 32 * (1 - s))).alias("key")).select("key", "fp"))
+    return link(few, _linker(bits)).union(link(parts[0].union(parts[1]), _sub_linker(bits)))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
