@@ -145,22 +145,26 @@ PIECES = "part int, doc_id long, doc_tokens long, start long, length int, rank l
 
 def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, to = TaskContext.get().partitionId(), [0] * (capacity + 1), encoder(path)
-        end = np.array([end_id], "<u4").tobytes()
+        part, seen, to = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
-                some = batch.slice(at, 256)
-                texts = (t.decode("utf-8", "replace") for t in some.column(1).to_pylist())
-                rows: list[tuple] = []
-                for doc_id, ids in zip(some.column(0).to_pylist(), to.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        length = min(capacity, n - start)
-                        rows.append((part, doc_id, n, start, length, seen[length], ids[4 * start : 4 * (start + length)]))
-                        seen[length] += 1
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "doc_id", "doc_tokens", "start", "length", "rank", "ids"])
+            at = 0
+            for ids, ends in to.encode(batch.column(1)):
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                size = np.diff(ends, prepend=0) + 1
+                pieces = -(-size // capacity)
+                owner = np.repeat(np.arange(len(size)), pieces)
+                start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(capacity, size[owner] - start)
+                order = np.argsort(length, kind="stable")  # ranks go on from those of the pieces of the same length before
+                first = np.concatenate([[0], np.flatnonzero(np.diff(length[order])) + 1])
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order))) + seen[length[order]]
+                seen += np.bincount(length, minlength=capacity + 1)
+                cuts = pa.array(np.concatenate([[0], 4 * np.cumsum(length)]), pa.int64()).buffers()[1]
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(length), [None, cuts, pa.py_buffer(ids)]).cast(pa.binary())
+                doc_id = batch.column(0).slice(at, len(size)).take(pa.array(owner))
+                at += len(size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), part, np.int32)), doc_id, pa.array(size[owner]), pa.array(start), pa.array(length.astype(np.int32)), pa.array(rank), blobs], names=["part", "doc_id", "doc_tokens", "start", "length", "rank", "ids"])
 
     return run
 

@@ -63,6 +63,34 @@ def test_simhash(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in spread) == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
 
 
+def test_near_links_with_large_keys(spark, monkeypatch):
+    """Fingerprints that share halves, with keys above and below HOT, are grouped as by comparing all pairs."""
+    monkeypatch.setattr(simhash, "HOT", 12)
+    r = random.Random(41)
+    fps = {r.getrandbits(64) for _ in range(100)}
+    for _ in range(4):
+        half, low = r.getrandbits(32), r.getrandbits(32)
+        for _ in range(60):
+            fps.add(half << 32 | low ^ sum(1 << r.randrange(32) for _ in range(r.randint(0, 4))))
+            fps.add((half ^ 1 << r.randrange(32)) << 32 | low ^ 1 << r.randrange(32))
+            fps.add(r.getrandbits(32) << 32 | low)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    links = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.near_links(df).collect()]
+    found = {x: x for x in fps}
+
+    def root(x):
+        while found[x] != x:
+            x = found[x]
+        return x
+
+    for a, b in links:
+        assert (a ^ b).bit_count() <= 3 or simhash.HOT * 2 < len(fps)
+        found[max(root(a), root(b))] = min(root(a), root(b))
+    want = plain_components(fps, fps)
+    assert {x: root(x) for x in fps} == want and len(set(want.values())) < len(fps)
+
+
 def plain_similar(texts, shingle=5, similarity=0.8):
     """The least index that each text reaches by links of five-word similarity."""
     words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").encode().lower().decode()) for t in texts]
@@ -172,12 +200,13 @@ def test_simhash_links_in_hot_keys(spark, monkeypatch):
     assert got == plain_components(signed, fps)
 
 
-def test_simhash_grid_equals_all():
+def test_simhash_grid_equals_forest():
     r = np.random.default_rng(2)
     x = np.unique(r.integers(0, 1 << 16, 900).astype(np.uint64) | np.uint64(7 << 40))
-    a, b = simhash._near_all(x, 3), simhash._near_grid(x, 3)
-    assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(set(a.tolist())) == len(set(b.tolist()))
-
+    comp, (a, b) = simhash._near_grid(x, 3), simhash._forest(x, 3)
+    at = {v: i for i, v in enumerate(x.tolist())}
+    assert all((p ^ q).bit_count() <= 3 and comp[at[p]] == comp[at[q]] for p, q in zip(a.tolist(), b.tolist(), strict=True))
+    assert len(a) == len(x) - len(np.unique(comp))  # a forest of as many trees
 
 def test_warc(spark, monkeypatch):
     html = ["<p>" + t + "</p>" for t in prose(4, 60)]
@@ -253,14 +282,26 @@ def test_secrets_checksums_and_masks(spark):
     assert secrets.redacted(documents(spark, [])).count() == 0
 
 
-def test_subwords_equal_the_tokenizer():
+def test_subwords_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(subwords, "CHUNK_BYTES", 400)
     e = subwords.Encoder(subwords.default_path())
     r = random.Random(7)
-    for i in range(3000):
-        if i % 300 == 0:
-            e = subwords.Encoder(subwords.default_path())
-        text = "".join(r.choice("ab A.,.  \n'sé́_-1<|x\tΣ٣") for _ in range(r.randint(0, 14)))
-        assert np.frombuffer(e._chunk([text])[0], "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    drawn = ["".join(r.choice("ab A.,.  \n'sé́_-1<|x\tΣ٣\x01\x02ŉİ½²") for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    texts = [*drawn, *(t or "" for t in ODD), "x" * 999 + " " + "é1" * 300, "<|endoftext|>a <|STARTOFTEXT|>", *prose(8, 20)]
+    raw = pa.array([t.encode() for t in texts], pa.binary())
+    for text, ids in zip(texts, e.texts(raw), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert [x.tolist() for x in e.texts(raw[5:9])] == [x.tolist() for x in list(e.texts(raw))[5:9]]
+    bad = b"ab \xff\xfe cd"
+    assert next(e.texts(pa.array([bad]))).tolist() == e.tokenizer.encode(bad.decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
+def test_subwords_equal_the_tokenizer_on_its_own_vocabulary():
+    e = subwords.Encoder(subwords.default_path())
+    words = sorted({t.removesuffix("</w>") for t in e.tokenizer.get_vocab() if t.isascii()})
+    ids, size = e.words(words)
+    for w, own in zip(words, np.split(ids, np.cumsum(size)[:-1]), strict=True):
+        assert own.tolist() == e.tokenizer.encode(w, add_special_tokens=False).ids, w
 
 
 def test_fill_is_closest():
@@ -309,7 +350,17 @@ def test_packing(spark):
             assert (r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) == (len(joined), len(part), len(ids), zlib.crc32(bytes(r["ids"])))
             joined += part
         assert joined == ids
+    # sequences are numbered from 0 and filled without a gap, all but one to the last place
+    held = {}
+    for r in rows:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(held) == set(range(len(held)))
+    ends = [sum(n for _, n in own) for own in held.values()]
+    assert all([o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] for own in held.values())
+    assert max(ends) <= 2048 and sum(n < 2048 for n in ends) <= 1
     assert packing.pack(documents(spark, [])).count() == 0
+    nameless = packing.pack(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["doc_tokens"]) for r in nameless) == [(0, 3), (0, 3), (3, 1)]
 
 
 def test_chat(spark):
