@@ -463,13 +463,44 @@ def test_lm(spark, monkeypatch):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 10 == 0, len(words), sum(w in counts for w in words), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
     assert lm.scores(documents(spark, [])).count() == 0
+    # nothing to learn from; null and repeated ids
+    odd = lm.scores(spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0), "a  b a")], "doc_id long, text string")).first()
+    assert (odd["n_tokens"], odd["n_known"], odd["train_tokens"]) == (4, 0, 0) and odd["base_score"] == pytest.approx(0)
+    twice = lm.scores(spark.createDataFrame([(None, "x y"), (None, "x y"), (1, None)], "doc_id long, text string")).collect()
+    assert [r["n_tokens"] for r in sorted(twice, key=lambda r: r["doc_id"] or 0)] == [3, 3, 1] and len({r["score"] for r in twice if r["doc_id"] is None}) == 1
 
 
-def test_attention_windows_and_causality():
-    r = np.random.default_rng(16)
-    kind = attention.classes_of(np.arange(400, 0, -1))
+def small_net(seed=16):
+    r = np.random.default_rng(seed)
+    kind = attention.classes_of([r.zipf(1.3, 4000) % 400], 400)
     net = attention.Net.new(400, kind)
-    inside = attention.within(r.integers(0, 5, (attention.CLASSES, 400)).astype(float), kind)
+    net.p["prev"] += r.standard_normal(net.p["prev"].shape).astype(np.float32)
+    return r, net, attention.within(r.integers(0, 5, (attention.CLASSES, 400)).astype(float), kind)
+
+
+def plain_log10(net, inside, ids):
+    """One id after another, from the weights alone."""
+    p, total = {k: v.astype(np.float64) for k, v in net.p.items()}, 0.0
+    for i, target in enumerate(ids):
+        at = i // attention.STRIDE * attention.STRIDE - attention.CONTEXT - 1  # of the window's first input
+        x = [net.begin if j < 0 else int(ids[j]) for j in range(at, i)]
+        e = p["embed"][x] + p["place"][: len(x)]
+        q = e[-1] @ p["q"] / attention.DIM**0.5
+        a = np.exp(e @ p["k"] @ q)
+        h = np.tanh((a @ (e @ p["v"]) / a.sum()) @ p["o"] + p["embed"][x[-1]] @ p["skip"])
+        logits = h @ p["out"] + p["prev"][net.kind[x[-1]]] + p["bias"]
+        total += logits[net.kind[target]] - np.log(np.exp(logits).sum()) + inside[net.kind[x[-1]], target]
+    return total / np.log(10)
+
+
+def test_attention_equals_one_id_at_a_time():
+    r, net, inside = small_net()
+    texts = [r.integers(0, 400, n) for n in (1, 2, 23, 24, 25, 200)]
+    assert attention.Scorer(net, inside).log10(texts) == pytest.approx([plain_log10(net, inside, t) for t in texts], rel=1e-4)
+
+
+def test_attention_windows_and_causality():
+    r, net, inside = small_net()
     s = attention.Scorer(net, inside)
     long = r.integers(0, 400, attention.STRIDE * attention.BATCH * 8 + 999)
     x, y, there = attention.windows(long, 400)
