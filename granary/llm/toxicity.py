@@ -23,10 +23,9 @@ DIM = 8
 WINDOW = 5  # words
 FLOOR = 50  # n-grams that a window's mean is taken over at least
 THRESHOLD = 0.3
-MIN_DOCS = 8  # fitted documents that an n-gram must occur in
+MIN_SHARE, MIN_DOCS = 0.004, (2, 8)  # of the fitted documents that an n-gram must occur in, and the bounds of that number
 DECAY = 0.6  # of the embeddings, in the manner of AdamW
 SAMPLE = {1: 900, 0: 1400}  # labelled documents that are fitted, by label: the bound of the sample
-WINDOWS = 60  # windows of each fitted document
 CACHE_WORDS = 400_000
 _STRIP = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 
@@ -122,10 +121,12 @@ def _fit(windows: list[np.ndarray], labels: np.ndarray, docs: np.ndarray, vocabu
     h, ends = grams(vocabulary.index)
     sizes = np.diff(ends)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    # n-grams seen in fewer than MIN_DOCS fitted documents say nothing yet
+    if not len(h):  # texts of marks alone
+        return np.zeros(BUCKETS, np.float32), 0.0
+    least = min(max(MIN_SHARE * (docs.max() + 1), MIN_DOCS[0]), MIN_DOCS[1])  # n-grams of fewer documents say nothing yet
     pairs = np.unique(np.concatenate([np.unique(w) * (docs.max() + 1) + d for w, d in zip(windows, docs, strict=True)]))
     word_docs = np.bincount(pairs // (docs.max() + 1), minlength=len(sizes))
-    known = np.bincount(h, weights=word_docs[owner], minlength=BUCKETS) >= MIN_DOCS
+    known = np.bincount(h, weights=word_docs[owner], minlength=BUCKETS) >= least
     embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.05 * known[:, None]).astype(np.float32)
     softmax = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -218,10 +219,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             checked.append((r[1], y))
             continue
         starts = range(0, len(words), WINDOW)
-        for s in sorted(rng.choice(len(starts), min(WINDOWS, len(starts)), replace=False).tolist()):
-            windows.append(vocabulary.add(words[starts[s] : starts[s] + WINDOW]))
-            labels_.append(y)
-            owners.append(r[0])
+        windows += [at[s : s + WINDOW] for at in [vocabulary.add(words)] for s in starts]
+        labels_ += [y] * len(starts)
+        owners += [r[0]] * len(starts)
     if len(set(labels_)) < 2 or len({y for _, y in checked}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share[1] / share[0])))
     model = Model(*_fit(windows, np.array(labels_), np.unique(owners, return_inverse=True)[1], vocabulary))

@@ -388,6 +388,12 @@ def test_toxicity_learns_unseen_spellings(spark):
     assert toxicity.scored(docs.limit(2), flat).first()["score"] < 0.01
 
 
+def test_toxicity_of_marks_alone(spark):
+    docs = documents(spark, ["... !!! ???"] * 40 + ODD)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int"))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, model).collect())
+
+
 def test_language(spark):
     en, fr = ["the of and thing " * 20] * 30, ["le de la une chose " * 20] * 30
     docs = spark.createDataFrame([(i, t, "en" if i < 30 else "fr", "s") for i, t in enumerate(en + fr)], "doc_id long, text string, lang string, source string")
