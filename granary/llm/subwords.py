@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 22  # of texts whose words are told apart together
+CHUNK_BYTES = 1 << 21  # of texts whose words are told apart together
 LONG_WORD = 200  # characters beyond which a word is left to the tokenizer
 _PLAIN = re.compile("(?!.*<\\|)[\x21-\x7e¡-įı-ɏ]{0,%d}" % LONG_WORD).fullmatch
 _END, _GAP = "\x01", "\x02"  # end of a piece, and a piece between words: no plain word holds them
@@ -101,6 +101,7 @@ class Encoder:
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield self._chunk(texts.slice(a, b - a))
+        pa.default_memory_pool().release_unused()
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each whole text."""

@@ -26,7 +26,7 @@ THRESHOLD = 0.3
 MIN_SHARE, MIN_DOCS = 0.004, (2, 8)  # of the fitted documents that an n-gram must occur in, and the bounds of that number
 DECAY = 0.6  # of the embeddings, in the manner of AdamW
 SAMPLE = {1: 900, 0: 1400}  # labelled documents that are fitted, by label: the bound of the sample
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _STRIP = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
 
 
@@ -114,30 +114,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.logit(tokens(data)) + self.shift, -40, 40))))
 
 
-def _fit(windows: list[np.ndarray], labels: np.ndarray, docs: np.ndarray, vocabulary: Vocabulary, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Joint training of embeddings and softmax by Adam on all windows; then again with only the most toxic windows of the
+def _fit(flat: np.ndarray, cuts: np.ndarray, labels: np.ndarray, docs: np.ndarray, vocabulary: Vocabulary, seed: int = 7) -> tuple[np.ndarray, float]:
+    """flat: indices of the words of windows that start at cuts (which ends with their end); labels and docs: of each window.
+
+    Joint training of embeddings and softmax by Adam on all windows; then again with only the most toxic windows of the
     toxic documents, as a label says that there is such a window, not that each is one."""
     rng = np.random.default_rng(seed)
     h, ends = grams(vocabulary.index)
     sizes = np.diff(ends)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     if not len(h):  # texts of marks alone
         return np.zeros(BUCKETS, np.float32), 0.0
     least = min(max(MIN_SHARE * (docs.max() + 1), MIN_DOCS[0]), MIN_DOCS[1])  # n-grams of fewer documents say nothing yet
-    pairs = np.unique(np.concatenate([np.unique(w) * (docs.max() + 1) + d for w, d in zip(windows, docs, strict=True)]))
+    where = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(cuts))
+    pairs = np.unique(flat * (docs.max() + 1) + docs[where])
     word_docs = np.bincount(pairs // (docs.max() + 1), minlength=len(sizes))
     known = np.bincount(h, weights=word_docs[owner], minlength=BUCKETS) >= least
     embedding = (rng.standard_normal((BUCKETS, DIM)) * 0.05 * known[:, None]).astype(np.float32)
     softmax = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    flat = np.concatenate(windows)
-    cuts = np.concatenate([[0], np.cumsum([len(w) for w in windows])])
+    del pairs, word_docs
     count = np.maximum(np.add.reduceat(sizes[flat], cuts[:-1]), FLOOR).astype(np.float32)[:, None]
-    where = np.repeat(np.arange(len(windows)), np.diff(cuts))
-    starts = np.minimum(ends[:-1], len(h) - 1)
+    words = np.empty((len(sizes), DIM), np.float32)
 
     def forward():
-        words = np.add.reduceat(embedding[h], starts, axis=0) * (sizes > 0)[:, None]
+        for a in range(0, len(sizes), 8192):  # some words' n-grams at a time
+            b = min(a + 8192, len(sizes))
+            own = np.concatenate([embedding[h[ends[a] : ends[b]]], np.zeros((1, DIM), np.float32)])
+            words[a:b] = np.add.reduceat(own, ends[a:b] - ends[a], axis=0) * (sizes[a:b] > 0)[:, None]
         mean = np.add.reduceat(words[flat], cuts[:-1], axis=0) / count
         logits = mean @ softmax + bias
         e = np.exp(logits - logits.max(1, keepdims=True))
@@ -170,7 +174,7 @@ def _fit(windows: list[np.ndarray], labels: np.ndarray, docs: np.ndarray, vocabu
             w[labels == c] /= max(1.0, w[labels == c].sum())
         return w
 
-    train(balanced(np.ones(len(windows))), 20, 0.05)
+    train(balanced(np.ones(len(docs))), 20, 0.05)
     for epochs in (10, 10, 20):
         odds = forward()[1][:, 1]
         top = np.zeros(docs.max() + 1)
@@ -211,20 +215,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = {r.doc_id: r.y for y in (0, 1) for r in own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]).collect()}
     # rows that share an id count as one, so that the sample is bounded whatever repeats
     rows = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text"))
-    vocabulary, windows, labels_, owners, checked = Vocabulary(), [], [], [], []
+    vocabulary, held, sizes, labels_, owners, checked = Vocabulary(), [], [], [], [], []
     for r in sorted(((r.doc_id, bytes(r.text)) for r in rows.toLocalIterator()), key=lambda r: r):
         words, y = tokens(r[1]), chosen[r[0]]
         rng = np.random.default_rng(r[0] & 0x7FFFFFFF)
         if rng.random() < 0.25:
             checked.append((r[1], y))
             continue
-        starts = range(0, len(words), WINDOW)
-        windows += [at[s : s + WINDOW] for at in [vocabulary.add(words)] for s in starts]
-        labels_ += [y] * len(starts)
-        owners += [r[0]] * len(starts)
+        n = -(-len(words) // WINDOW)
+        held.append(vocabulary.add(words))
+        sizes += [WINDOW] * (n - 1) + [len(words) - WINDOW * (n - 1)] * bool(n)
+        labels_ += [y] * n
+        owners += [r[0]] * n
     if len(set(labels_)) < 2 or len({y for _, y in checked}) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log(share[1] / share[0])))
-    model = Model(*_fit(windows, np.array(labels_), np.unique(owners, return_inverse=True)[1], vocabulary))
+    model = Model(*_fit(np.concatenate(held), np.concatenate([[0], np.cumsum(sizes)]), np.array(labels_), np.unique(owners, return_inverse=True)[1], vocabulary))
     x, y = np.array([model.logit(tokens(t)) for t, _ in checked]), np.array([float(y) for _, y in checked])
     weight = np.where(y == 1, share[1] / n / y.mean(), share[0] / n / (1 - y.mean()))
     model.scale, model.shift = _calibrate(x, y, weight)
