@@ -38,34 +38,27 @@ class Boundaries:
 
 def windows(text: str, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP, profile: str = "latin") -> list[tuple[int, int]]:
     """Half-open chunks that cover the text. Up to `size` it is one chunk; a remainder of at most twice the size is cut in
-    two balanced halves; else a chunk runs to the sentence end after `size` characters, and the next starts at the one
-    after its last `overlap` characters."""
+    two balanced halves that overlap; else a chunk runs to the sentence end after `size` characters, and the next starts at
+    the one after its last `overlap` characters. Ends are pushed back where a text has no sentence end left."""
     n = len(text)
     if n <= size:
         return [(0, n)] if n else []
-    b = Boundaries(text, profile)
-
-    def balanced(left: int) -> list[tuple[int, int]]:
-        middle, half = left + (n - left) // 2, overlap // 2
-        first = min(b.right(middle + half), n - 1)
-        second = min(b.right(max(left, middle - half)), n)
-        second = min(max(second, first - size), first)
-        return [(left, first), (second, n)]
-
-    if n <= 2 * size:
-        return balanced(0)
-    right = b.right(size)
-    out = [(0, right)]
-    while right < n:
-        if n - right <= 2 * size:
-            return out + (balanced(right) if n - right > size else [(right, n)])
-        left = min(b.right(max(0, right - overlap)), right)
-        nxt = b.right(left + size)
-        if nxt <= right:
-            nxt = n
-        out.append((left, nxt))
-        right = nxt
-    return out
+    b, out = Boundaries(text, profile), []
+
+    def halves(left: int) -> list[tuple[int, int]]:
+        end = min(b.right((left + n) // 2 + overlap // 2), n - 1)
+        if end <= left:
+            end = min(left + size, n)
+        start = min(b.right(max(left + 1, end - overlap)), n - 1, end)
+        return [(left, end), (start, n)]
+
+    right = 0
+    while n - right > 2 * size:
+        left = min(b.right(max(0, right - overlap)), right) if out else 0
+        end = b.right(left + size)
+        right = end if end > left else min(left + size, n)
+        out.append((left, right))
+    return out + halves(right) if right < n else out
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP, profile: str = "latin") -> DataFrame:
@@ -93,6 +86,20 @@ def sections(docs: DataFrame, heading: str = P.SECTION_LATIN, overview: str = "
     return own.select("doc_id", "pos", F.when(titled, strip(F.col("first"))).otherwise(overview).alias("section"), F.when(titled, strip(rest)).otherwise(F.col("part")).alias("body"))
 
 
+def subsections(bodies: DataFrame, id_col: str, text_col: str = "text", marker: str = P.SUBSECTION_ZH) -> DataFrame:
+    """(id, pos, subsection, content): parts start behind lines that a marker (anchored to its line's ends) matches, and are
+    named by its first digits, or the marker where it has none. What comes before the first is named ""; blank parts go. A
+    body without markers is one part, blank or not."""
+    own = bodies.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    part = F.posexplode(F.split("body", rf"(?md)(?={marker})"))
+    own = own.select(id_col, part.alias("pos", "part"), F.regexp_like("body", F.lit(rf"(?md){marker}")).alias("marked"))
+    own = own.withColumn("mark", F.regexp_extract("part", rf"(?md)\A{marker}", 0))
+    digits = F.regexp_extract("mark", r"\d+", 0)
+    content = F.when(F.col("marked"), strip(F.expr("substring(part, length(mark) + 1)"))).otherwise(F.col("part"))
+    out = own.select(id_col, "pos", F.when(digits != "", digits).otherwise(strip(F.col("mark"))).alias("subsection"), content.alias("content"), "marked")
+    return out.filter((F.col("content") != "") | ~F.col("marked")).drop("marked")
+
+
 def structure_sample(c, head: int = 3000, size: int = 1000):
     """The head of a text and slices at its quarters that start after the head."""
     n = F.length(c)

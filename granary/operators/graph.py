@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions.text import strip
+
 from granary.functions import profiles as P
 
 TRIPLE = ["subject", "predicate", "object"]
@@ -137,3 +139,35 @@ def visible(edges: DataFrame, top: DataFrame) -> DataFrame:
     for end in ("subject", "object"):
         edges = edges.join(top.select(F.col("node").alias(end)), end, "left_semi")
     return edges.select(TRIPLE).distinct()
+
+
+def gated(rows: DataFrame, least: float, confidence: str = "confidence") -> DataFrame:
+    """rows and whether their confidence is high enough to do without a check; a missing one isn't."""
+    return rows.withColumn("sure", F.coalesce(F.col(confidence) >= least, F.lit(False)))
+
+
+def endpoint_types(relations: DataFrame, entities: DataFrame, default: str = "Entity") -> DataFrame:
+    """relations (subject, object, ...) with subject_type and object_type, from entities (name, type), one row for each name."""
+    for end in ("subject", "object"):
+        own = entities.select(F.col("name").alias(f"__{end}"), F.col("type").alias(f"{end}_type"))
+        relations = relations.join(own, F.col(end) == F.col(f"__{end}"), "left").drop(f"__{end}").withColumn(f"{end}_type", F.coalesce(f"{end}_type", F.lit(default)))
+    return relations
+
+
+def canonical_ends(relations: DataFrame, canonical: DataFrame) -> DataFrame:
+    """relations with both ends replaced by their canonical names, from canonical (alias, name), one row for each alias."""
+    for end in ("subject", "object"):
+        own = canonical.select(F.col("alias").alias("__alias"), F.col("name").alias("__name"))
+        relations = relations.join(own, F.col(end) == F.col("__alias"), "left").withColumn(end, F.coalesce("__name", end)).drop("__alias", "__name")
+    return relations
+
+
+def canonical_names(relations: DataFrame) -> DataFrame:
+    """Each name at an end of a relation, once."""
+    return relations.select(F.explode(F.array("subject", "object")).alias("name")).filter("name is not null").distinct()
+
+
+def extract_inputs(sections: DataFrame, text_col: str = "text", least: int = 50, gate: int = 20, most: int = 3000) -> DataFrame:
+    """Sections that are long enough to be read for entities, with what of them a model is given: as input."""
+    bare = F.length(strip(F.col(text_col)))
+    return sections.filter((bare >= least) & (bare >= gate)).withColumn("input", F.substring(text_col, 1, most))

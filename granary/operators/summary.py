@@ -63,3 +63,22 @@ def tree(chunks: DataFrame) -> DataFrame:
 def batches(chunks: DataFrame, size: int = 5) -> DataFrame:
     """Batch numbers of consecutive chunks within their file."""
     return chunks.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("file").orderBy("chunk_idx")) - 1) / size))
+
+
+def section_counts(chunks: DataFrame) -> DataFrame:
+    """For each file: chunks, distinct sections (an empty name is one), and distinct named subsections within them."""
+    named = F.when(F.col("subsection") != "", F.struct(F.coalesce("section", F.lit("")), "subsection"))
+    return chunks.groupBy("file").agg(F.count("*").alias("chunks"), F.countDistinct(F.coalesce("section", F.lit(""))).alias("sections"), F.countDistinct(named).alias("subsections"))
+
+
+def fallback_report(nodes: DataFrame, order: list[str], most: int = 10) -> DataFrame:
+    """How many summaries are cut texts (column fallback), and the ids of the first of them."""
+    own = nodes.filter("fallback")
+    first = own.orderBy(*order, "node_id").limit(most).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "node_id"))), lambda x: x["node_id"]), ",").alias("first_ids"))
+    return own.groupBy().agg(F.count("*").alias("fallbacks")).crossJoin(first)
+
+
+def covering(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(node_id, chunk_idx): the chunks within each summary's range, both ends included."""
+    wide = nodes.select("node_id", F.explode(F.sequence("chunk_lo", "chunk_hi")).alias("chunk_idx"))
+    return wide.join(chunks.select("chunk_idx").distinct(), "chunk_idx").select("node_id", "chunk_idx")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granary.functions import answers as A
 from granary.functions import profiles as P
 from granary.functions import text as T
 from granary.operators import build, chunking, evaluation, graph, retrieval, summary
@@ -62,7 +63,7 @@ def tokenize_tf(spark, d):
     return retrieval.term_frequencies(_docs(spark, d))
 
 
-@query(f"WITH {INDEX} SELECT token, df, round(idf, 6) AS idf FROM df JOIN idf USING (token)")
+@query(f"WITH tok AS (SELECT DISTINCT doc_id, unnest({TOK}) AS token FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM tok) SELECT token, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tok, n GROUP BY token")
 def bm25_idf_table(spark, d):
     _, df, stats = retrieval.inverted_index(_docs(spark, d))
     n = float(stats.first()["n"])
@@ -251,12 +252,36 @@ def structure_samples(spark, d):
     return _docs(spark, d).select("doc_id", chunking.structure_sample(F.col("text")).alias("sample"))
 
 
-@query()
+#: Windows as a recursion over positions behind sentence ends; the texts of size and twice the size are cut apart from it.
+WINDOWS = r"""
+RECURSIVE parts AS (SELECT doc_id, text, length(text) AS n, list_transform(string_split_regex(text, '[.!?]\s'), lambda x: length(x)) AS lens FROM documents),
+marks AS (SELECT doc_id, sum(x + 2) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS e, k, m FROM (SELECT doc_id, unnest(lens) AS x, generate_subscripts(lens, 1) AS k, len(lens) AS m FROM parts)),
+ends AS (SELECT doc_id, list(e ORDER BY e) AS ends FROM marks WHERE k < m GROUP BY doc_id),
+d AS (SELECT doc_id, text, n, coalesce(ends, []) AS ends FROM parts LEFT JOIN ends USING (doc_id)),
+w AS (
+  SELECT doc_id, n, ends, 0 AS l, coalesce(list_filter(ends, lambda e: e > 1024)[1], n) AS r FROM d WHERE n > 2048
+  UNION ALL
+  SELECT doc_id, n, ends, l, CASE WHEN r <= l THEN least(l + 1024, n) ELSE r END FROM (
+    SELECT doc_id, n, ends, l, coalesce(list_filter(ends, lambda e: e > l + 1024)[1], n) AS r FROM (
+      SELECT doc_id, n, ends, least(coalesce(list_filter(ends, lambda e: e > greatest(0, r - 102))[1], n), r) AS l FROM w WHERE n - r > 2048))
+),
+rest AS (SELECT doc_id, n, ends, r AS l FROM w WHERE r < n AND n - r <= 2048 UNION ALL SELECT doc_id, n, ends, 0 FROM d WHERE n > 1024 AND n <= 2048),
+one AS (SELECT doc_id, n, ends, l, CASE WHEN z <= l THEN least(l + 1024, n) ELSE z END AS z FROM (SELECT *, least(coalesce(list_filter(ends, lambda e: e > (l + n) // 2 + 51)[1], n), n - 1) AS z FROM rest)),
+cut AS (
+  SELECT doc_id, l, r FROM w UNION ALL SELECT doc_id, l, z FROM one
+  UNION ALL SELECT doc_id, least(coalesce(list_filter(ends, lambda e: e > greatest(l + 1, z - 102))[1], n), n - 1, z), n FROM one
+  UNION ALL SELECT doc_id, 0, n FROM d WHERE n <= 1024 AND n > 0
+),
+chunk AS (SELECT doc_id, l, r, trim(substring(text, CAST(l + 1 AS BIGINT), CAST(r - l AS BIGINT)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM cut JOIN d USING (doc_id))
+"""
+
+
+@query(f"""WITH {WINDOWS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, r) - 1 AS chunk_no, CAST(l AS BIGINT) AS "left", CAST(r AS BIGINT) AS "right", text FROM chunk WHERE text <> ''""")
 def chunk_sliding_window(spark, d):
     return chunking.chunks(_docs(spark, d))
 
 
-@query()
+@query(f"""WITH {WINDOWS} SELECT doc_id, count(*) AS chunks, CAST(min(l) AS BIGINT) AS first, CAST(max(r) AS BIGINT) AS last, CAST(max(r - l) AS BIGINT) AS longest FROM chunk WHERE text <> '' GROUP BY doc_id""")
 def chunk_stats(spark, d):
     return chunking.chunks(_docs(spark, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min("left").alias("first"), F.max("right").alias("last"), F.max(F.col("right") - F.col("left")).alias("longest"))
 
@@ -583,3 +608,110 @@ r(missing, stage) AS (SELECT stage, stage FROM st UNION SELECT r.missing, dep.st
 def stage_closure(spark, d):
     """What each missing stage makes out of date."""
     return spark.createDataFrame([(m, s) for m, out in _CASES for s in out], "missing string, stage string")
+
+
+@query(r"""WITH line AS (SELECT doc_id, x, k, regexp_full_match(x, '[A-Z][a-z]+\.') AS mark FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
+part AS (SELECT *, sum(mark::INT) OVER (PARTITION BY doc_id ORDER BY k) AS g, max(mark) OVER (PARTITION BY doc_id) AS marked FROM line),
+body AS (SELECT doc_id, g, marked, coalesce(max(x) FILTER (mark), '') AS subsection, coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (NOT mark), '') AS content FROM part GROUP BY doc_id, g, marked)
+SELECT doc_id, subsection, md5(CASE WHEN marked THEN trim(content, ' ' || chr(9) || chr(10) || chr(13)) ELSE content END) AS content FROM body WHERE NOT marked OR trim(content, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def subsection_split(spark, d):
+    return chunking.subsections(_docs(spark, d), "doc_id", marker=r"^[A-Z][a-z]+\.$").select("doc_id", "subsection", F.md5("content").alias("content"))
+
+
+_SAID = [" 是的, ", "“不是” ", "\"Yes, ", "否。", "：是", "no "]
+
+
+@query("""SELECT conv_id, turn, conv_id % 6 IN (0, 2, 4) OR conv_id % 6 > 5 AND lower(left(ltrim(text), 3)) = 'yes' AS yes FROM conversations""")
+def yes_no(spark, d):
+    said = F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.col("conv_id") % 6 + 1).cast("int"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", A.says_yes(F.concat(said, "text")).alias("yes"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(left(text, 300), '\s+', ' ', 'g'))) AS first, '' AS second, md5(trim(regexp_replace(substring(text, 301, 300), '\s+', ' ', 'g'))) AS third FROM documents WHERE text NOT LIKE '%[%' AND length(text) > 301""")
+def batch_summaries(spark, d):
+    said = F.concat(F.lit("Here:\n[3] early [9] far [1]"), F.substring("text", 1, 300), F.lit("\n[3]  "), F.substring("text", 301, 300))
+    own = _docs(spark, d).filter(~F.contains("text", F.lit("[")) & (F.length("text") > 301)).select("doc_id", A.numbered(said, 3).alias("s"))
+    return own.select("doc_id", F.md5(F.col("s")[0]).alias("first"), F.col("s")[1].alias("second"), F.md5(F.col("s")[2]).alias("third"))
+
+
+@query("SELECT doc_id, greatest(200, CAST(floor(length(text) * 0.3) AS INT)) AS most FROM documents")
+def summary_size_limit(spark, d):
+    return _docs(spark, d).select("doc_id", A.size_limit(F.length("text"), 0.3).alias("most"))
+
+
+@query("SELECT o_orderkey, split_part(o_orderpriority, '-', 1) || ',' || o_orderkey AS kept FROM orders WHERE o_orderkey > 5 UNION ALL SELECT o_orderkey, array_to_string(list_sort(list_distinct([split_part(o_orderpriority, '-', 1)::BIGINT, o_orderkey])), ',') FROM orders WHERE o_orderkey <= 5")
+def index_set(spark, d):
+    said = F.concat(F.split("o_orderpriority", "-"), F.array(F.concat(F.lit(" "), F.col("o_orderkey").cast("string")), F.col("o_orderkey").cast("string"), F.lit("1.5"), F.lit(None)))
+    return _t(spark, d, "orders").select("o_orderkey", F.array_join(A.index_set(said).cast("array<string>"), ",").alias("kept"))
+
+
+@query("SELECT event_id, CAST(least(5, greatest(1, round_even(value / 20, 0))) AS INT) AS mark, CASE WHEN event_id % 2 = 0 THEN 1 ELSE CAST(least(5, greatest(1, round_even(value, 0))) AS INT) END AS odd FROM events")
+def judge_marks(spark, d):
+    return _t(spark, d, "events").select("event_id", A.clamped(F.col("value") / 20).alias("mark"), A.clamped(F.when(F.col("event_id") % 2 == 0, F.lit("good")).otherwise(F.col("value").cast("string"))).alias("odd"))
+
+
+@query("""SELECT event_id, event_type AS key, CASE event_id % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'float' WHEN 2 THEN 'bool' WHEN 3 THEN 'null' ELSE 'str' END AS kind,
+CASE event_id % 5 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '-' || user_id || '.5e3' WHEN 2 THEN 'true' WHEN 4 THEN 'a=' || user_id END AS value FROM events""")
+def settings(spark, d):
+    user = F.col("user_id").cast("string")
+    said = F.concat(F.lit(" "), "event_type", F.lit(" ="), F.element_at(F.array(F.concat(F.lit("+"), user), F.concat(F.lit("-"), user, F.lit(".5E3")), F.lit(" True "), F.lit("None"), F.concat(F.lit("a="), user)), (F.col("event_id") % 5 + 1).cast("int")))
+    return _t(spark, d, "events").select("event_id", A.key_value(said).alias("s")).select("event_id", "s.*")
+
+
+@query("SELECT doc_id, md5(replace(text, chr(10), ' ')) AS sent FROM documents")
+def embedding_input(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(A.one_line(F.col("text"))).alias("sent"))
+
+
+@query("SELECT source AS file, count(*) AS chunks, count(DISTINCT lang) AS sections, count(DISTINCT lang) FILTER (length(text) > 1500) AS subsections FROM documents GROUP BY source")
+def section_counts(spark, d):
+    return summary.section_counts(_chunks(spark, d))
+
+
+@query(f"WITH {TREE} SELECT count(*) AS fallbacks, array_to_string(list(node_id ORDER BY chunk_lo, node_id)[1:10], ',') AS first_ids FROM l2")
+def fallback_report(spark, d):
+    return summary.fallback_report(summary.tree(_chunks(spark, d)).filter("level = 2").withColumn("fallback", F.lit(True)), ["chunk_lo"])
+
+
+@query(f"WITH {TREE} SELECT l2.node_id, count(*) AS covered FROM l2 JOIN documents ON doc_id BETWEEN chunk_lo AND chunk_hi GROUP BY l2.node_id")
+def summary_covers(spark, d):
+    c = _chunks(spark, d)
+    return summary.covering(summary.tree(c).filter("level = 2"), c).groupBy("node_id").agg(F.count("*").alias("covered"))
+
+
+@query("SELECT doc_id, md5(left(text, 3000)) AS input FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) >= 50")
+def extract_inputs(spark, d):
+    return graph.extract_inputs(_docs(spark, d)).select("doc_id", F.md5("input").alias("input"))
+
+
+def _customers(spark, d):
+    """Who lives in which nation, as relations."""
+    nations = _t(spark, d, "nation")
+    return _t(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("subject"), F.lit("in").alias("predicate"), F.col("n_name").alias("object"), (F.col("c_acctbal") / 10000).alias("confidence"))
+
+
+@query("SELECT c_name AS subject, coalesce(c_acctbal / 10000 >= 0.5, false) AS sure FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def confidence_gate(spark, d):
+    return graph.gated(_customers(spark, d), 0.5).select("subject", "sure")
+
+
+@query("SELECT c_name AS subject, 'Entity' AS subject_type, n_name AS object, CASE WHEN n_regionkey < 3 THEN 'Place' ELSE 'Entity' END AS object_type FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def endpoint_types(spark, d):
+    types = _t(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_name").alias("name"), F.lit("Place").alias("type"))
+    return graph.endpoint_types(_customers(spark, d), types).select("subject", "subject_type", "object", "object_type")
+
+
+def _canonical(spark, d):
+    """Relations with nations of some regions under their region's name."""
+    names = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("n_regionkey < 3").select(F.col("n_name").alias("alias"), F.col("r_name").alias("name"))
+    return graph.canonical_ends(_customers(spark, d), names)
+
+
+@query("SELECT c_name AS subject, CASE WHEN n_regionkey < 3 THEN r_name ELSE n_name END AS object FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def canonical_ends(spark, d):
+    return _canonical(spark, d).select("subject", "object")
+
+
+@query("SELECT c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT CASE WHEN n_regionkey < 3 THEN r_name ELSE n_name END FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def canonical_names(spark, d):
+    return graph.canonical_names(_canonical(spark, d))
