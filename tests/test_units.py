@@ -165,3 +165,27 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         spark.range(n).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(spark, str(tmp_path / "in"), "id long", lambda df, _: seen.append(df.count()), str(tmp_path / "mark")).awaitTermination()
     assert seen == [2, 3]
+
+
+def test_answers(spark):
+    from granary.functions import answers as A
+
+    one = lambda value, f, kind="string": spark.createDataFrame([(value,)], f"c {kind}").select(f(F.col("c")).alias("x")).first()["x"]
+    for said, want in ((" 是", True), ("：“是的", True), ("不是", False), ("否", False), ("YES.", True), ("maybe 是", False), ("", False), (None, False)):
+        assert one(said, A.says_yes) is want, said
+    assert one("[1] a\n b [3] c [1] d", lambda c: A.numbered(c, 3)) == ["d", "", "c"]
+    assert one(None, lambda c: A.numbered(c, 2)) == ["", ""]
+    assert one(["0", " 2 ", "x", "2", None, "1.5"], A.index_set, "array<string>") == [0, 2]
+    assert [one(v, A.clamped) for v in ("4.5", "3.5", "9", "-1", "good", None)] == [4, 4, 5, 1, 1, 1]
+    for said, want in ((" True", ("bool", "true")), ("null", ("null", None)), ("+1_0", ("int", "10")), ("1e3", ("float", "1e3")), ("a b", ("str", "a b"))):
+        assert tuple(one(said, A.scalar)) == want
+    assert tuple(one(" K = 1", A.key_value)) == ("K", "int", "1") and one("K", A.key_value) is None and one("=1", A.key_value) is None
+    assert [one(v, lambda c: A.switched_on(c, True)) for v in (None, " ", "On", "0", "2")] == [True, True, True, False, False]
+
+
+def test_subsections(spark):
+    from granary.operators import chunking
+
+    rows = [(1, "head\n　　1\nfirst\n　　2\n\n第3节\nthird"), (2, "none"), (3, ""), (4, None), (5, "　1")]
+    out = chunking.subsections(spark.createDataFrame(rows, "id long, text string"), "id").orderBy("id", "pos").collect()
+    assert [(r["id"], r["subsection"], r["content"]) for r in out] == [(1, "", "head"), (1, "1", "first"), (1, "3", "third"), (2, "", "none"), (3, "", ""), (4, "", "")]
