@@ -171,3 +171,12 @@ def extract_inputs(sections: DataFrame, text_col: str = "text", least: int = 50,
     """Sections that are long enough to be read for entities, with what of them a model is given: as input."""
     bare = F.length(strip(F.col(text_col)))
     return sections.filter((bare >= least) & (bare >= gate)).withColumn("input", F.substring(text_col, 1, most))
+
+
+def context_row(hits: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, context, score): a query's triples as lines, scored as the least of its results (0 without any), so that
+    they never outrank them. hits: as of one_hop, results (query_id, score)."""
+    line = F.concat(F.lit("("), "subject", F.lit(")-["), "predicate", F.lit("]->("), "object", F.lit(")"))
+    rows = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("x"))
+    least = results.groupBy("query_id").agg(F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
+    return rows.join(least, "query_id", "left").select("query_id", F.array_join("x.l", "\n").alias("context"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -168,6 +168,25 @@ def rerank_fallback_topk(spark, d):
     return retrieval.rerank(rrf_two_route(spark, d), scores)
 
 
+@query(f"""WITH {INDEX}, {ROUTES},
+dv AS (SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM (SELECT id, CAST('0x' || substr(md5(token), 1, 2) AS INTEGER) % 64 AS b, count(*) AS n FROM tok GROUP BY ALL)),
+qv AS (SELECT query_id, b, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS w FROM (SELECT query_id, CAST('0x' || substr(md5(token), 1, 2) AS INTEGER) % 64 AS b, count(*) AS n FROM (SELECT item_id AS query_id, unnest({TOK}) AS token FROM benchmark) GROUP BY ALL)),
+vs AS (SELECT query_id, id, round(sum(qv.w * dv.w), 6) AS score FROM qv JOIN dv USING (b) GROUP BY query_id, id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs),
+hs AS (SELECT 0 AS route, query_id, id, score, rank FROM hits WHERE score >= 0.3 UNION ALL SELECT 2, query_id, id, score, rank FROM vr WHERE rank <= 30 AND score >= 0.1),
+g AS (SELECT *, CASE WHEN score > 0 AND (score - lead(score) OVER (PARTITION BY route, query_id ORDER BY rank)) / score > 0.2 THEN rank END AS cut FROM hs),
+c0 AS (SELECT *, min(cut) OVER (PARTITION BY route, query_id) AS first_cut FROM g),
+u AS (SELECT query_id, id, route, rank FROM c0 WHERE rank <= CASE WHEN first_cut IS NULL THEN 30 ELSE greatest(first_cut, 10) END UNION ALL SELECT query_id, id, route, rank FROM kw), {FUSED},
+c AS (SELECT z.query_id, z.id, z.rank, CASE WHEN sc.matched >= 20 THEN sc.idf_sum END AS s FROM z LEFT JOIN sc USING (query_id, id) WHERE rank <= 20),
+a AS (SELECT *, count(s) OVER (PARTITION BY query_id) > 0 AS answered FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(s, 0) DESC, rank) AS final_rank FROM a WHERE NOT answered OR s IS NOT NULL)
+SELECT query_id, id, CAST(final_rank AS INTEGER) AS final_rank, answered FROM o WHERE final_rank <= 10""")
+def hybrid_topk(spark, d):
+    """Lexical, keyword and vector routes, filtered, fused and re-ranked as one plan."""
+    rescore = lambda scored: scored.filter("matched >= 20").select("query_id", "id", F.col("idf_sum").alias("s"))
+    return retrieval.hybrid(_docs(spark, d), _questions(spark, d), rescore)
+
+
 def _chunks(spark, d):
     """Documents as chunks of a book for each source, with a section for each language and a subsection by label."""
     return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_idx"), F.format_string("c%d", "doc_id").alias("node_id"), F.col("source").alias("file"), F.col("lang").alias("section"), F.when(F.length("text") > 1500, "long").otherwise("").alias("subsection"), "text")
@@ -393,12 +412,12 @@ def graph_one_hop(spark, d):
     return graph.one_hop(_triples(spark, d), _asked(spark, d))
 
 
-@query(f"{_HOP} SELECT query_id, string_agg('(' || subject || ')-[' || predicate || ']->(' || object || ')', chr(10) ORDER BY rank) AS context, 0.5 AS score FROM r WHERE rank <= 20 GROUP BY query_id")
+@query(f"""{_HOP}, {VEC.replace(chr(10) + "r AS", chr(10) + "vr AS")}, worst AS (SELECT query_id // 20 AS query_id, min(score) AS score FROM vr WHERE rank <= 10 AND score >= 0.1 GROUP BY ALL)
+SELECT query_id, string_agg('(' || subject || ')-[' || predicate || ']->(' || object || ')', chr(10) ORDER BY r.rank) AS context, coalesce(any_value(worst.score), 0) AS score FROM r LEFT JOIN worst USING (query_id) WHERE r.rank <= 20 GROUP BY query_id""")
 def graph_context_row(spark, d):
-    """The row that graph context adds to each question's results."""
-    line = F.concat(F.lit("("), "subject", F.lit(")-["), "predicate", F.lit("]->("), "object", F.lit(")"))
-    rows = graph_one_hop(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("x"))
-    return rows.select("query_id", F.array_join("x.l", "\n").alias("context"), F.lit(0.5).cast("decimal(2,1)").alias("score"))
+    """The row that graph context adds to each question's results; those of nation n are the hits of vector 20 n."""
+    results = vector_topk(spark, d).filter("rank <= 10").select(F.floor(F.col("query_id") / 20).alias("query_id"), "score")
+    return graph.context_row(graph_one_hop(spark, d), results)
 
 
 @query(f"WITH {TRI} SELECT subject, predicate, object, count(*) AS n FROM tri GROUP BY ALL")
