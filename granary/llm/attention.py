@@ -1,10 +1,11 @@
 """A causal self-attention language model in numpy, over subword ids, with an output in two levels.
 
 The next id's class comes from one attention layer over the window. Frequent ids are classes of their own; the others are
-grouped by what stands before and after them, so that a class tells much of an id. The id within its class comes from counts
-over the whole corpus, given the class before. Training is plain backpropagation with Adam. Scoring cuts each text in windows
-of CONTEXT + STRIDE inputs that overlap by CONTEXT, so each id is scored once, with at least CONTEXT ids before it (fewer at
-the start).
+grouped by what stands before and after them in the whole corpus, so that a class tells much of an id. The id within its class
+comes from counts over the whole corpus, given the class before. Training is plain backpropagation with Adam: train makes a
+first net from some texts, and every window of the corpus then moves it once, in parts that start from that net and whose
+moves are averaged. Scoring cuts each text in windows of CONTEXT + STRIDE inputs that overlap by CONTEXT, so each id is scored
+once, with at least CONTEXT ids before it (fewer at the start).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ ROUNDS, FACTORS = 12, 24  # of the grouping
 CLASSES = HEAD + TAIL
 BATCH = 512  # windows made together, by eights
 AT_ONCE = 64  # windows scored together; what they need stays in a core's cache
+RATE = 0.003  # of the corpus' windows
 LAMBDA = 20.0  # weight of the counts without context
 _FAR = np.float32(-1e9)
 # a query at CONTEXT + i sees inputs up to its own
@@ -28,12 +30,37 @@ SEEN = np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]
 MASK = np.where(SEEN, np.float32(0), _FAR)
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The rank of each of the NEAR most frequent ids, NEAR for the others."""
+    near = np.full(len(counts), NEAR)
+    near[np.argsort(-counts, kind="stable")[:NEAR]] = np.arange(min(NEAR, len(counts)))
+    return near
+
+
+def add_beside(table: np.ndarray, near: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    """Adds to table (2 * NEAR + 2, vocabulary), of texts one after another: how often an id stands after each rank, then how
+    often before each. Before a text stands the last id of the vocabulary."""
+    before = np.append(table.shape[1] - 1, ids[:-1])
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = table.shape[1] - 1
+    flat, one = table.reshape(-1), table.dtype.type(1)
+    np.add.at(flat, near[before] * table.shape[1] + ids, one)
+    np.add.at(flat, (near[ids] + NEAR + 1) * table.shape[1] + before, one)
+
+
 def classes_of(texts: list[np.ndarray], vocabulary: int, seed: int = 1) -> np.ndarray:
-    """The class of each id: the HEAD most frequent ids of texts, then TAIL groups of ids with like neighbours (k-means on the
-    main factors of their square-rooted, smoothed neighbour shares). Ids that the texts lack go where a mean id goes."""
+    """classes_from of the counts of some texts."""
     flat = np.concatenate([np.zeros(0, np.int64), *texts]).astype(np.int64)
-    before = np.concatenate([np.zeros(0, np.int64), *(np.append(vocabulary - 1, t[:-1]) for t in texts if len(t))]).astype(np.int64)
-    counts = np.bincount(flat, minlength=vocabulary)
+    counts, beside = np.bincount(flat, minlength=vocabulary), np.zeros((2 * NEAR + 2, vocabulary), np.int64)
+    if len(flat):
+        add_beside(beside, ranks(counts), flat, np.array([len(t) for t in texts]))
+    return classes_from(counts, beside, seed)
+
+
+def classes_from(counts: np.ndarray, beside: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The class of each id, by its count and its row of add_beside: the HEAD most frequent ids, then TAIL groups of ids with
+    like neighbours (k-means on the main factors of their square-rooted, smoothed neighbour shares). Ids without a count go
+    where a mean id goes."""
+    vocabulary = len(counts)
     order = np.argsort(-counts, kind="stable")
     out = np.full(vocabulary, HEAD, np.int64)
     out[order[:HEAD]] = np.arange(min(HEAD, vocabulary))
@@ -41,19 +68,20 @@ def classes_of(texts: list[np.ndarray], vocabulary: int, seed: int = 1) -> np.nd
     if len(seen) <= HEAD + TAIL:
         out[order[HEAD:]] = HEAD + np.arange(vocabulary - min(HEAD, vocabulary)) % TAIL
         return out
-    row = np.zeros(vocabulary, np.int64)
-    row[seen] = np.arange(len(seen))
-    near = np.full(vocabulary, NEAR)
-    near[order[:NEAR]] = np.arange(NEAR)
-    width = NEAR + 1
-    share = np.bincount(row[flat] * 2 * width + near[before], minlength=len(seen) * 2 * width) + np.bincount(row[before] * 2 * width + width + near[flat], weights=counts[before] > 0, minlength=len(seen) * 2 * width)
-    share = share.reshape(len(seen), 2 * width).astype(np.float32)
-    mean = share.sum(0) / share.sum()
-    share = np.sqrt((share + 5 * mean) / (share.sum(1, keepdims=True) + 5)) - np.sqrt(mean)
+    share = beside[:, seen].T.astype(np.float32)
+    mean = share.sum(0, dtype=np.float64) / share.sum(dtype=np.float64)
+    mean = mean.astype(np.float32)
+    size = share.sum(1, keepdims=True) + np.float32(5)
+    share += 5 * mean
+    share /= size
+    np.sqrt(share, out=share)
+    share -= np.sqrt(mean)
     weight = np.sqrt(counts[seen]).astype(np.float32)
-    axes = np.linalg.svd((share * weight[:, None]).T @ (share * weight[:, None]))[0][:, :FACTORS]
+    heavy = share * weight[:, None]
+    axes = np.linalg.svd(heavy.T @ heavy)[0][:, :FACTORS]
     rest = np.isin(seen, order[HEAD:])
     x, weight = (share @ axes)[rest], weight[rest].astype(np.float64)
+    del share, heavy
     centers = x[np.random.default_rng(seed).choice(len(x), TAIL, replace=False, p=weight / weight.sum())]
     nearest = lambda v: ((centers**2).sum(1) - 2 * v @ centers.T).argmin(-1)
     for _ in range(ROUNDS):
@@ -77,6 +105,20 @@ def windows(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return padded[at + np.arange(LENGTH)[None, :]], padded[at + CONTEXT + 1 + np.arange(STRIDE)[None, :]], there
 
 
+def windows_of(ids: np.ndarray, sizes: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of texts one after another."""
+    each = -(-sizes // STRIDE)
+    room = np.where(each > 0, CONTEXT + 1 + each * STRIDE, 0)
+    starts = np.cumsum(room) - room
+    padded = np.full(int(room.sum()), begin, np.int64)
+    within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    padded[np.repeat(starts, sizes) + CONTEXT + 1 + within] = ids
+    step = (np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)) * STRIDE
+    at = (np.repeat(starts, each) + step)[:, None]
+    there = step[:, None] + np.arange(STRIDE) < np.repeat(sizes, each)[:, None]
+    return padded[at + np.arange(LENGTH)], padded[at + CONTEXT + 1 + np.arange(STRIDE)], there
+
+
 @dataclass
 class Net:
     """begin: the id of the padding before a text, which no text holds."""
@@ -116,49 +158,74 @@ class Net:
         total = np.einsum("ij,ij->i", np.exp(logits, out=logits), t["eprev"].take(before, 0))
         return (chosen - np.log(total)).reshape(target.shape)
 
-    def loss_and_grads(self, x: np.ndarray, target: np.ndarray, there: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p = self.p
-        e = p["embed"][x] + p["place"]
-        own = e[:, CONTEXT:]
-        scale = np.float32(DIM**-0.5)
-        q, k, v = own @ p["q"] * scale, e @ p["k"], e @ p["v"]
-        score = np.matmul(q, k.transpose(0, 2, 1)) + MASK
-        a = np.exp(np.minimum(score, 30))
+    def loss_and_grads(self, x: np.ndarray, target: np.ndarray, there: np.ndarray) -> tuple[float, dict]:
+        """Mean loss of the targets that are there, and its gradients; of "embed" as (ids, their rows)."""
+        p, n, scale = self.p, max(1, int(there.sum())), np.float32(DIM**-0.5)
+        plain = p["embed"].take(x, 0)
+        e = plain + p["place"]
+        plain, own = (np.ascontiguousarray(a[:, CONTEXT:]) for a in (plain, e))
+        q, k, v = own @ (p["q"] * scale), e @ p["k"], e @ p["v"]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        np.exp(np.minimum(a, 30, out=a), out=a)
+        a *= SEEN
         a /= a.sum(2, keepdims=True)
         mix = np.matmul(a, v)
-        plain = p["embed"][x[:, CONTEXT:]]
-        h = np.tanh(mix @ p["o"] + plain @ p["skip"])
-        before = self.kind[x[:, CONTEXT:]]
-        logits = h @ p["out"] + p["prev"][before] + p["bias"]
-        logits -= logits.max(2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(2, keepdims=True)
-        gold = self.kind[target]
-        n = max(1, int(there.sum()))
-        at = np.take_along_axis(prob, gold[:, :, None], 2)[:, :, 0]
-        loss = float(-(np.log(at + 1e-9) * there).sum() / n)
-        d = prob
-        np.put_along_axis(d, gold[:, :, None], (at - 1)[:, :, None], 2)
-        d *= (there / np.float32(n))[:, :, None]
-        g = {"out": h.reshape(-1, DIM).T @ d.reshape(-1, CLASSES), "bias": d.sum((0, 1)), "prev": np.zeros_like(p["prev"]), "embed": np.zeros_like(p["embed"])}
-        np.add.at(g["prev"], before.ravel(), d.reshape(-1, CLASSES))
-        dh = (d @ p["out"].T) * (1 - h * h)
-        flat = dh.reshape(-1, DIM)
-        g["o"], g["skip"] = mix.reshape(-1, DIM).T @ flat, plain.reshape(-1, DIM).T @ flat
-        dmix = dh @ p["o"].T
+        flat_mix, flat_plain = mix.reshape(-1, DIM), plain.reshape(-1, DIM)
+        h = np.tanh(flat_mix @ p["o"] + flat_plain @ p["skip"])
+        # targets in order of the class before, so that the gradients of "prev" are sums of runs
+        before = self.kind.take(x[:, CONTEXT:]).ravel()
+        order = np.argsort(before.astype(np.uint8), kind="stable")
+        before, gold, weight, h = before[order], self.kind.take(target).ravel()[order], there.ravel()[order] / np.float32(n), h[order]
+        d = h @ p["out"]
+        d += (p["prev"] + p["bias"]).take(before, 0)
+        np.exp(np.minimum(d, 80, out=d), out=d)
+        total, at = d.sum(1), np.arange(len(d))
+        loss = float(-(np.log(d[at, gold] / total + 1e-9) * weight).sum())
+        d *= (weight / total)[:, None]
+        d[at, gold] -= weight
+        runs = np.flatnonzero(np.diff(before, prepend=-1))
+        g = {"out": h.T @ d, "prev": np.zeros_like(p["prev"])}
+        g["prev"][before[runs]] = np.add.reduceat(d, runs, axis=0)
+        g["bias"] = g["prev"].sum(0)
+        dh = np.empty_like(h)
+        dh[order] = (d @ p["out"].T) * (1 - h * h)
+        g["o"], g["skip"] = flat_mix.T @ dh, flat_plain.T @ dh
+        dmix = (dh @ p["o"].T).reshape(mix.shape)
         da = np.matmul(dmix, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), dmix)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q)
+        da -= (dmix * mix).sum(2, keepdims=True)
+        da *= a
+        dq, dk = np.matmul(da, k) * scale, np.matmul(da.transpose(0, 2, 1), q)
         g["q"], g["k"], g["v"] = (y.reshape(-1, DIM).T @ z.reshape(-1, DIM) for y, z in ((own, dq), (e, dk), (e, dv)))
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, CONTEXT:] += dq @ p["q"].T
         g["place"] = de.sum(0)
-        de[:, CONTEXT:] += dh @ p["skip"].T
-        np.add.at(g["embed"], x.ravel(), de.reshape(-1, DIM))
+        de[:, CONTEXT:] += (dh @ p["skip"].T).reshape(mix.shape)
+        order = np.argsort(x.ravel().astype(np.uint16 if self.begin < 1 << 16 else np.int64), kind="stable")
+        ids = x.ravel()[order]
+        runs = np.flatnonzero(np.diff(ids, prepend=-1))
+        g["embed"] = ids[runs], np.add.reduceat(de.reshape(-1, DIM)[order], runs, axis=0)
         return loss, g
 
 
+class Adam:
+    """Moves a net along its gradients; rows of "embed" only where the windows have their ids."""
+
+    def __init__(self, net: Net) -> None:
+        self.net, self.step, self.state = net, 0, {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
+
+    def move(self, x: np.ndarray, target: np.ndarray, there: np.ndarray, rate: float) -> None:
+        self.step += 1
+        one, two = np.float32(rate / (1 - 0.9**self.step)), np.float32(1 - 0.99**self.step)
+        for n, g in self.net.loss_and_grads(x, target, there)[1].items():
+            rows, g = g if n == "embed" else (slice(None), g)
+            m, v = (s[rows] for s in self.state[n])
+            m = m + np.float32(0.1) * (g - m)
+            v = v + np.float32(0.01) * (g * g - v)
+            self.state[n][0][rows], self.state[n][1][rows] = m, v
+            self.net.p[n][rows] -= one * m / (np.sqrt(v / two) + np.float32(1e-8))
+
+
 def train(vocabulary: int, kind: np.ndarray, texts: list[np.ndarray], steps: int = 800, batch: int = 192, rate: float = 0.01, seed: int = 5) -> Net:
     net = Net.new(vocabulary, kind, seed)
     if not texts:
@@ -167,20 +234,59 @@ def train(vocabulary: int, kind: np.ndarray, texts: list[np.ndarray], steps: int
     parts = [tuple(p.astype(small) if i < 2 else p for i, p in enumerate(windows(t, net.begin))) for t in texts]
     x, y, there = (np.concatenate([p[i] for p in parts]) for i in range(3))
     del parts
-    rng = np.random.default_rng(seed)
-    state = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in net.p.items()}
+    rng, adam = np.random.default_rng(seed), Adam(net)
     for step in range(1, steps + 1):
         at = rng.integers(0, len(x), min(batch, len(x)))
-        _, grads = net.loss_and_grads(x[at].astype(np.int64), y[at].astype(np.int64), there[at])
-        now = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-        for n, value in net.p.items():
-            m, v = state[n]
-            m += 0.1 * (grads[n] - m)
-            v += 0.01 * (grads[n] ** 2 - v)
-            value -= np.float32(now / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        adam.move(x[at].astype(np.int64), y[at].astype(np.int64), there[at], rate * min(1.0, step / 20) * (1 - 0.9 * step / steps))
     return net
 
 
+OTHERS = ("place", "q", "k", "v", "o", "skip", "out", "prev", "bias")  # what every window moves
+FIXED = 1 << 20  # moves are added as integers of this part, so that their order doesn't matter
+
+
+class Mover:
+    """A net that all windows of one part of the corpus have moved, each once."""
+
+    def __init__(self, first: Net, seed: int = 5) -> None:
+        self.first, self.net = first, Net(first.begin, first.kind, {n: v.copy() for n, v in first.p.items()})
+        self.adam, self.rng = Adam(self.net), np.random.default_rng(seed)
+        self.met, self.seen = np.zeros(first.begin + 1, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        x, y, there = windows_of(ids, sizes, self.net.begin)
+        self.met += np.bincount(x.ravel(), minlength=len(self.met))
+        self.seen += len(x)
+        order = self.rng.permutation(len(x))
+        for at in range(0, len(x), AT_ONCE):
+            part = order[at : at + AT_ONCE]
+            self.adam.move(x[part], y[part], there[part], RATE)
+
+    def sums(self) -> list[np.ndarray]:
+        """Rows of integers that add up over parts: the moves of each column of "embed", by how often its id was met, how often
+        that was, and the moves of all others, by windows, with their number."""
+        moved = {n: self.net.p[n].astype(np.float64) - self.first.p[n] for n in self.net.p}
+        embed = np.rint(moved["embed"] * (self.met * float(FIXED))[:, None]).astype(np.int64)
+        others = np.concatenate([moved[n].ravel() for n in OTHERS]) * (self.seen * float(FIXED))
+        return [*embed.T, self.met, np.append(np.rint(others).astype(np.int64), self.seen)]
+
+
+SUMS = DIM + 2
+
+
+def moved(first: Net, sums: list[np.ndarray]) -> Net:
+    """first with the mean moves of all parts, by the added rows of Mover.sums; longer rows end with zeros."""
+    p = {n: v.copy() for n, v in first.p.items()}
+    rows, size, at = len(p["embed"]), sum(p[n].size for n in OTHERS), 0
+    met, others, seen = np.maximum(sums[DIM][:rows], 1), sums[DIM + 1], max(1, int(sums[DIM + 1][size]))
+    for d in range(DIM):
+        p["embed"][:, d] += (sums[d][:rows] / (met * float(FIXED))).astype(np.float32)
+    for n in OTHERS:
+        p[n] += (others[at : at + p[n].size].reshape(p[n].shape) / (seen * float(FIXED))).astype(np.float32)
+        at += p[n].size
+    return Net(first.begin, first.kind, p)
+
+
 def within(pairs: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Natural log-probability of an id within its class after a class, from counts (class before, id) over the corpus:
     those after that class, smoothed by those after any, smoothed by one for each id."""

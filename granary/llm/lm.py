@@ -1,8 +1,9 @@
 """Language-model scoring of documents: a causal self-attention model over subword ids (attention.py), and beside it the
 smoothed unigram score that it is measured against.
 
-The attention layer is fitted on windows of the whole texts of SAMPLE_DOCS documents; word counts and the counts of subword
-ids after each class are taken from every training document and grow with the corpus.
+Word counts, the classes of subword ids and the counts of ids after each class are taken from every training document. So is
+the attention layer: it starts from a fit on SAMPLE_DOCS whole texts, and then every window of every training document moves it
+once, in the task that reads the document; the tasks' moves are averaged.
 
 Words whose share of the tokens is at least HEAD_SHARE go to every task; there can be no more than 1 / HEAD_SHARE of them.
 The others meet their counts in a join by word, of one row for each word of a document.
@@ -27,7 +28,8 @@ from granary.llm._shared import materialize, utf8
 from granary.llm.subwords import default_path, encoder
 
 HEAD_SHARE = 1e-6
-SAMPLE_DOCS = 1500  # training documents the attention layer is fitted on, those with the least hash of their ids
+SAMPLE_DOCS = 1500  # training documents the attention layer starts from, those with the least hash of their ids
+ADDERS = 32  # tasks that add up packed rows
 FLUSH_WORDS = 1_000_000  # counts of words that a task holds before it adds them up and hands them on
 CHUNK_BYTES = 1 << 21  # of texts that are scored together
 END = b" "  # stands for the end token; no word holds a space
@@ -54,12 +56,54 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
 
 
-def _counter(path: str, vocabulary: int, kind: np.ndarray):
-    """Of training texts: words, and subword ids after each class. And each text with its ids, so that they are made once."""
+def _packed(rows: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """Rows of integers by their keys, as (word, blob); only what isn't zero is kept."""
+    keys, blobs = [], []
+    for key, row in rows.items():
+        at = np.flatnonzero(row)
+        if len(at):
+            keys.append(struct.pack("<I", key))
+            blobs.append(zstandard.compress(at.astype("<u4").tobytes() + row[at].astype("<i8").tobytes(), 1))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], names=["word", "blob"])
+
+
+def _add_packed(sums: dict[int, np.ndarray], width: int, word: bytes, blob: bytes) -> None:
+    raw = zstandard.decompress(blob)
+    n, key = len(raw) // 12, struct.unpack("<I", word)[0]
+    if key not in sums:
+        sums[key] = np.zeros(width, np.int64)
+    sums[key][np.frombuffer(raw, "<u4", n)] += np.frombuffer(raw, "<i8", n, 4 * n)
+
+
+def _summed(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
+    """The sum of the packed rows of each key; keys are few, whatever the input, and a task holds those it is dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for word, blob in zip(b.column(0), b.column(1), strict=True):
+                _add_packed(sums, width, word.as_py(), blob.as_py())
+        yield _packed(sums)
+
+    out: dict[int, np.ndarray] = {}
+    for r in rows.select("word", "blob").repartition(ADDERS, "word").mapInArrow(run, "word binary, blob binary").toLocalIterator():
+        _add_packed(out, width, bytes(r["word"]), bytes(r["blob"]))
+    return out
+
+
+def _encoded(blobs: pa.Array, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, how many each text has) of some texts after another, with their end ids."""
+    for a, b in _parts(blobs):
+        own = [np.append(np.frombuffer(i.as_buffer(), "<u2").astype(np.int64), end) for i in blobs.slice(a, b - a)]
+        yield np.concatenate(own), np.array([len(o) for o in own])
+
+
+def _counter(path: str, vocabulary: int):
+    """Of training texts: words and subword ids. And each text with its ids, so that they are made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, end, tables = encoder(path), vocabulary - 1, []
-        pairs = np.zeros(A.CLASSES * vocabulary, np.int64)
+        met = np.zeros(vocabulary, np.int64)
 
         def batch(what, keys, counts, blobs):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), what, np.int32)), keys, counts, blobs], names=["kind", "word", "n", "blob"])
@@ -83,33 +127,54 @@ def _counter(path: str, vocabulary: int, kind: np.ndarray):
                 coded, _ = _words(texts.filter(pa.array(train)))
                 counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
                 tables.append(pa.table({"word": pa.concat_arrays([coded.dictionary, pa.array([END], pa.binary())]), "n": np.append(counts, train.sum())}))
-                own = np.insert(ids.astype(np.int64), ends, end)
-                before = kind[np.append(end, own[:-1])]
-                used = np.repeat(train, np.diff(ends, prepend=0) + 1)
-                pairs += np.bincount((before * vocabulary + own)[used], minlength=len(pairs))
+                met += np.bincount(ids[np.repeat(train, np.diff(ends, prepend=0))], minlength=vocabulary)
+                met[end] += train.sum()
                 if sum(t.num_rows for t in tables) >= FLUSH_WORDS:
                     yield from summed()
         if tables:
             yield from summed()
-        for c, row in enumerate(pairs.reshape(A.CLASSES, vocabulary)):
-            if row.any():
-                yield batch(1, pa.array([struct.pack("<I", c)], pa.binary()), pa.array([int(row.sum())]), pa.array([zstandard.compress(row.astype("<i8").tobytes(), 1)], pa.binary()))
+        own = _packed({0: met})
+        yield batch(1, own.column(0), pa.nulls(own.num_rows, pa.int64()), own.column(1))
 
     return run
 
 
-def _adder(vocabulary: int):
-    """Sum of the packed counts of each class; a task holds one row of counts for each class it is dealt."""
+def _neighbours(vocabulary: int, near: np.ndarray):
+    """Of training texts: how often each id stands after and before the most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[bytes, np.ndarray] = {}
+        beside, met = np.zeros((2 * A.NEAR + 2, vocabulary), np.int32), 0
         for b in batches:
-            for word, blob in zip(b.column(0), b.column(1), strict=True):
-                row = np.frombuffer(zstandard.decompress(blob.as_py()), "<i8")
-                key = word.as_py()
-                sums[key] = sums.get(key, 0) + row
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.binary()), pa.array([zstandard.compress(v.astype("<i8").tobytes(), 1) for v in sums.values()], pa.binary())], names=["word", "blob"])
+            for ids, sizes in _encoded(b.column(0), vocabulary - 1):
+                A.add_beside(beside, near, ids, sizes)
+                met += len(ids)
+                if met >= 1 << 30:  # before a count can pass 32 bits
+                    yield _packed(dict(enumerate(beside)))
+                    beside[:], met = 0, 0
+        yield _packed(dict(enumerate(beside)))
+
+    return run
+
+
+def _mover(vocabulary: int, first):
+    """Of training texts: the counts of ids after each class, and what all their windows move in the net (after CLASSES)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, end = first.value, vocabulary - 1
+        mover, pairs = A.Mover(net), np.zeros(A.CLASSES * vocabulary, np.int32)
+        met = 0
+        for b in batches:
+            for ids, sizes in _encoded(b.column(0), end):
+                before = np.append(end, ids[:-1])  # every text ends with that id
+                np.add.at(pairs, net.kind.take(before) * vocabulary + ids, np.int32(1))
+                met += len(ids)
+                if met >= 1 << 30:
+                    yield _packed(dict(enumerate(pairs.reshape(A.CLASSES, vocabulary))))
+                    pairs[:], met = 0, 0
+                mover.add(ids, sizes)
+        yield _packed(dict(enumerate(pairs.reshape(A.CLASSES, vocabulary))))
+        if mover.seen:
+            yield _packed({A.CLASSES + i: row for i, row in enumerate(mover.sums())})
 
     return run
 
@@ -174,23 +239,34 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     if vocabulary > 1 << 16:
         raise ValueError("ids are kept in 16 bits")
     base = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    texts = _sample(base, path, vocabulary)
-    kind = A.classes_of(texts, vocabulary)
-    net = A.train(vocabulary, kind, texts)
-    del texts
+    counted = materialize(base.select("id", "text", "held_out").mapInArrow(_counter(path, vocabulary), "kind int, word binary, n long, blob binary"), "counted")
+    packed, training = "word binary, blob binary", counted.filter((F.col("kind") == 2) & ~held_out("n")).select("blob")
+    met = _summed(counted.filter("kind = 1"), vocabulary).get(0, np.zeros(vocabulary, np.int64))
+    found = _summed(training.mapInArrow(_neighbours(vocabulary, A.ranks(met)), packed), vocabulary)
+    beside = np.zeros((2 * A.NEAR + 2, vocabulary), np.int32 if met.sum() < 1 << 31 else np.int64)
+    for key in list(found):
+        beside[key] = found.pop(key)
+    kind = A.classes_from(met, beside)
+    del beside
+    net = A.train(vocabulary, kind, _sample(base, path, vocabulary))
+    first = spark.sparkContext.broadcast(net)
+    width = max(vocabulary, sum(net.p[n].size for n in A.OTHERS)) + 1
+    found = _summed(training.mapInArrow(_mover(vocabulary, first), packed), width)
+    if found:
+        net = A.moved(net, [found.pop(A.CLASSES + i, np.zeros(width, np.int64)) for i in range(A.SUMS)])
+    pairs = np.zeros((A.CLASSES, vocabulary))
+    for key in list(found):
+        pairs[key] = found.pop(key)[:vocabulary]
+    inside = A.within(pairs, kind)
+    del pairs
 
-    counted = materialize(base.select("id", "text", "held_out").mapInArrow(_counter(path, vocabulary, kind), "kind int, word binary, n long, blob binary"), "counted")
     words = materialize(counted.filter("kind = 0").groupBy("word").agg(F.sum("n").alias("c")), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     unit = np.log10(total + ALPHA * (distinct + 1))
     least = max(1.0, HEAD_SHARE * total)
     head = {bytes(r["word"]): float(np.log10(r["c"] + ALPHA) - unit) for r in words.filter(F.col("c") >= least).toLocalIterator()}
-    packed = counted.filter("kind = 1").select("word", "blob").repartition(A.CLASSES, "word").mapInArrow(_adder(vocabulary), "word binary, blob binary")
-    pairs = np.zeros((A.CLASSES, vocabulary))
-    for r in packed.toLocalIterator():  # a row for each class, whatever the input
-        pairs[struct.unpack("<I", r["word"])[0]] += np.frombuffer(zstandard.decompress(bytes(r["blob"])), "<i8")
-    shared = spark.sparkContext.broadcast((net, A.within(pairs, kind), head, float(unit)))
-    del pairs, head
+    shared = spark.sparkContext.broadcast((net, inside, head, float(unit)))
+    del inside, head
 
     each = counted.filter("kind = 2").select("n", "word", "blob").mapInArrow(_scorer(vocabulary, shared), "row long, word binary, k long, doc_id long, n_tokens long, known long, base double, score double")
     rare = words.filter(F.col("c") < least).select(F.col("word").alias("rare"), "c")

@@ -476,6 +476,59 @@ def test_lm(spark, monkeypatch):
     assert [r["n_tokens"] for r in sorted(twice, key=lambda r: r["doc_id"] or 0)] == [3, 3, 1] and len({r["score"] for r in twice if r["doc_id"] is None}) == 1
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """Classes, and what moves the net, come from all training texts, not from those that the fit starts from."""
+    train, moved, seen = attention.train, attention.moved, {}
+    monkeypatch.setattr(lm, "SAMPLE_DOCS", 3)
+    monkeypatch.setattr(attention, "train", lambda *a: seen.update(kind=a[1], started=len(a[2]), net=train(*a, steps=5)) or seen["net"])
+    monkeypatch.setattr(attention, "moved", lambda *a: seen.update(sums=a[1]) or moved(*a))
+    texts = [*prose(17, 50, 2000), None, "", "one"]
+    assert lm.scores(documents(spark, texts).repartition(5)).count() == len(texts)
+    vocabulary = len(seen["kind"])
+    ids = [np.append(x, vocabulary - 1).astype(np.int64) for x in subwords.encoder(subwords.default_path()).texts(pa.array([(t or "").encode() for t in texts], pa.binary()))]
+    ids = [x for i, x in enumerate(ids) if zlib.crc32(str(i).encode()) % 10]
+    assert seen["started"] == 3 and (seen["kind"] == attention.classes_of(ids, vocabulary)).all()
+    windows = [attention.windows(x, vocabulary)[0] for x in ids]
+    size = sum(seen["net"].p[n].size for n in attention.OTHERS)
+    assert seen["sums"][attention.DIM + 1][size] == sum(map(len, windows))
+    assert (seen["sums"][attention.DIM][: vocabulary + 1] == np.bincount(np.concatenate(windows).ravel(), minlength=vocabulary + 1)).all()
+
+
+def test_attention_parts_add_up():
+    r, net, _ = small_net()
+    texts = [r.integers(0, 400, n) for n in (1, 24, 25, 0, 300, 48)]
+    each = [attention.windows(t, 400) for t in texts]
+    for one, all_ in zip(attention.windows_of(np.concatenate(texts), np.array([len(t) for t in texts]), 400), zip(*each, strict=True), strict=True):
+        assert (one == np.concatenate(all_)).all()
+    parts = [attention.Mover(net) for _ in range(2)]
+    for part, some in zip(parts, (texts[:3], texts[4:]), strict=True):
+        part.add(np.concatenate(some), np.array([len(t) for t in some]))
+    got = attention.moved(net, [a + b for a, b in zip(parts[0].sums(), parts[1].sums(), strict=True)])
+    for n in attention.OTHERS:
+        assert got.p[n] == pytest.approx(np.average([p.net.p[n] for p in parts], axis=0, weights=[p.seen for p in parts]), abs=1e-4)
+    met = [p.met[:, None] for p in parts]
+    want = net.p["embed"] + sum(m * (p.net.p["embed"] - net.p["embed"]) for m, p in zip(met, parts, strict=True)) / np.maximum(1, sum(met))
+    assert got.p["embed"] == pytest.approx(want, abs=1e-4)
+
+
+def test_attention_gradients():
+    r, net, _ = small_net()
+    net.p = {n: v.astype(np.float64) for n, v in net.p.items()}
+    x, y, there = attention.windows(r.integers(0, 400, 60), 400)
+    grads = net.loss_and_grads(x, y, there)[1]
+    ids, rows = grads["embed"]
+    grads["embed"] = np.zeros_like(net.p["embed"])
+    grads["embed"][ids] = rows
+    for n, g in grads.items():
+        for at in map(tuple, np.argwhere(np.abs(g) > np.abs(g).max() / 2)[:3]):
+            held, losses = net.p[n][at], []
+            for step in (1e-4, -1e-4):
+                net.p[n][at] = held + step
+                losses.append(net.loss_and_grads(x, y, there)[0])
+            net.p[n][at] = held
+            assert g[at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-2, abs=1e-5), n
+
+
 def small_net(seed=16):
     r = np.random.default_rng(seed)
     kind = attention.classes_of([r.zipf(1.3, 4000) % 400], 400)
