@@ -20,7 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
+    """Of each group of near-duplicates the document with the least id stays: texts of near SimHash fingerprints whose shingles
+    are alike, and like texts whose fingerprints are further apart."""
     return simhash.keep_one(docs)
 
 

@@ -11,10 +11,11 @@ share, so that a pair that meets under many keys is told once. Groups that meet
   one-wildcard variants of the other half (two quarters of 16 bits) instead. Such a sub-key fixes 46 of 64 bits, so it holds at
   most 2**18 distinct fingerprints, whatever the input: exact, and bounded.
 
-Near-duplicates by a similarity of word shingles are found exactly, whatever the size of a group. Put in one order, two sets
-of n shingles that have at least the share t of each in common have one in common among their first n - ceil(t * n) + 1, so
-an equality join on those brings every such pair together. Parity maps of the sets rule out most of the others, and the
-shingles of both texts decide.
+Near-duplicates by a similarity of word shingles start from the same: texts of equal fingerprints, and those that the
+fingerprints' links join, are compared by their shingles, which decide. Similar texts whose fingerprints differ in more bits
+are then found exactly, whatever the size of a group. Put in one order, two sets of n shingles that have at least the share t
+of each in common have one in common among their first n - ceil(t * n) + 1, so an equality join on those brings every such pair
+together. Parity maps of the sets rule out most of the others, and the shingles of both texts decide here too.
 """
 
 from __future__ import annotations
@@ -320,15 +321,15 @@ def _apart(sizes, similarity: float):
 
 
 def _describe_udf(shingle: int, similarity: float, common: np.ndarray, rank: np.ndarray):
-    kind = pa.struct([("key", pa.binary()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+    kind = pa.struct([("key", pa.binary()), ("size", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary()), ("fp", pa.int64())])
 
-    @F.arrow_udf("struct<key: binary, size: long, prefix: array<long>, bits: binary>")
+    @F.arrow_udf("struct<key: binary, size: long, prefix: array<long>, bits: binary, fp: long>")
     def describe(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
             data = t.as_buffer().to_pybytes() if t.is_valid else b""
             h = shingle_hashes(data, shingle)
-            out.append({"key": text_key(data), "size": len(h), "prefix": prefix(h, similarity, common, rank).view(np.int64), "bits": parities(h).tobytes()})
+            out.append({"key": text_key(data), "size": len(h), "prefix": prefix(h, similarity, common, rank).view(np.int64), "bits": parities(h).tobytes(), "fp": int(np.uint64(simhash(data)).view(np.int64))})
         return pa.array(out, kind)
 
     return describe.asNondeterministic()
@@ -461,11 +462,21 @@ def _crosser(similarity: float, forest: bool):
     return run
 
 
+def near_candidates(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """prints: (node, fp). Pairs (a, b) of nodes: those of one fingerprint with the least of them, and the least ones of
+    fingerprints that near_links links."""
+    least = materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    same = prints.join(least, "fp").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    one, other = (least.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b"))
+    near = near_links(least.select("fp"), bits).join(one, "a").join(other, "b")
+    return same.union(near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(name, key, component, kept) of each distinct text of docs: the least id that has it, what text_key gives for it, the
     least name among the texts that it reaches by links, and whether it is the one text of those to keep. A link is a
     Jaccard similarity of the word shingles of `similarity` or more; every link of distinct texts is found, but for those
-    that others imply, and verified on the whole texts.
+    that others imply, and verified on the whole texts: by near SimHash fingerprints, and what these leave by shared hashes.
 
     Null and blank texts have no shingles and are one text. Rows without an id are left out; rows that share an id are of
     different texts where their words differ. An empty table gives an empty result."""
@@ -473,7 +484,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("name"), utf8(text_col).alias("text"))
     each = base.select("name", _describe_udf(shingle, similarity, *_common(base, shingle))("text").alias("d"))
-    least = each.groupBy("d.key").agg(F.min(F.struct("name", "d.size", "d.prefix", "d.bits")).alias("d"))
+    least = each.groupBy("d.key").agg(F.min(F.struct("name", "d.size", "d.prefix", "d.bits", "d.fp")).alias("d"))
     distinct = materialize(least.select(F.monotonically_increasing_id().alias("node"), "key", "d.*"), "distinct-texts")
     maps = distinct.select("node", "size", "bits")
 
@@ -486,13 +497,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         one, other = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("a", "b"))
         return materialize(pairs.join(one, "a").join(other, "b").filter(_similar_udf(shingle, similarity)("text_a", "text_b")).select("a", "b"), "links")
 
-    # each key's members are first compared with the least of them only, which links most of a group of copies
+    # texts of near fingerprints
+    found = connected_components(linked(near_candidates(distinct.select("node", "fp")))).select(F.col("id").alias("node"), "component")
+
+    # then of those that have a hash in common: each key's members are first compared with the least of them only, which links
+    # most of a group of copies
     rows = distinct.select(F.explode("prefix").alias("key"), "node", "size").repartition(n, "key").sortWithinPartitions("key")
     met = materialize(rows.mapInArrow(_meet, "key long, node long, size long, n long, rep long, rep_size long"), "met")
     stars = met.filter((F.col("rep") != F.col("node")) & (F.least("size", "rep_size") >= similarity * F.greatest("size", "rep_size") - 1e-6)).select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     one, other = (maps.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}")) for c in ("a", "b"))
+    for c in ("a", "b"):
+        stars = stars.join(found.select(F.col("node").alias(c), F.col("component").alias(f"own_{c}")), c, "left")
+    stars = stars.filter(F.coalesce("own_a", "a") != F.coalesce("own_b", "b")).select("a", "b")
     stars = stars.join(one, "a").join(other, "b").filter(_possible_udf(similarity)("bits_a", "bits_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
-    found = connected_components(linked(stars)).select(F.col("id").alias("node"), "component")
+    links = linked(stars).union(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    found = connected_components(links).select(F.col("id").alias("node"), "component")
 
     # then all those with each other that a key brings together and no link does yet: along a forest first, so that a group
     # of copies that its least member isn't like doesn't become all its pairs; large keys by pairs of blocks

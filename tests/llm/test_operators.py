@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from granary.llm import attention, chat, decontaminate, imatch, langid, lm, packing, secrets, simhash, subwords, toxicity, warc
 from granary.llm._shared import new_path
 
@@ -174,6 +175,25 @@ def test_simhash_compares_large_keys_in_blocks(spark, monkeypatch, least):
     assert similar_groups(spark, texts) == want
 
 
+def test_simhash_similar_texts_meet_by_near_fingerprints(spark, monkeypatch):
+    """The pipeline's stage takes its first candidates from deletion variants of fingerprints, and shingles decide on them."""
+    asked, candidates = [], simhash.near_candidates
+    monkeypatch.setattr(simhash, "near_candidates", lambda *a: asked.append(candidates(*a).persist()) or asked[-1])
+    monkeypatch.setattr(simhash, "prefix", lambda hashes, *_: hashes[:0])  # nothing meets by shared hashes
+    r, base = random.Random(38), prose(39, 12, 3000)
+    texts = base + [" ".join([*t.split() * 30, f"x{i}"]) for i, t in enumerate(base)] + [" ".join([*t.split() * 30, f"y{i}"]) for i, t in enumerate(base)]
+    fps, like = [plain_simhash(t) for t in texts], plain_similar(texts)
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    near = [(i, j) for i, j in pairs if len(simhash.shingles(texts[i].encode(), 5) & simhash.shingles(texts[j].encode(), 5)) >= 0.8 * len(simhash.shingles(texts[i].encode(), 5) | simhash.shingles(texts[j].encode(), 5))]
+    got = {x["doc_id"] for x in corpus_pipeline.near_duplicate_stage(spark, documents(spark, texts), "").collect()}
+    assert len(near) >= 12 and asked[0].count() > 0
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == {i for i in range(len(texts)) if want[i] == i} and all(like[i] == like[want[i]] for i in range(len(texts)))
+
+
 def test_simhash_links_only_within_what_it_covers(spark):
     with pytest.raises(ValueError):
         simhash.near_links(spark.createDataFrame([(1,)], "fp long"), 8)
