@@ -112,13 +112,7 @@ def vector_label_recall(spark, d):
 
 
 def _routes(spark, d, n=3):
-    every = retrieval.bm25_scores(_docs(spark, d), _questions(spark, d))
-    by = ["score", "matched", "idf_sum"][:n]
-    parts = [retrieval.ranked(every, P.TOP_K, c).select("query_id", "id", F.lit(i).alias("route"), "rank") for i, c in enumerate(by)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return retrieval.lexical_routes(_docs(spark, d), _questions(spark, d), ("score", "matched", "idf_sum")[:n])
 
 
 FUSED = "f AS (SELECT query_id, id, round(sum(1 / (60.0 + rank)), 9) AS score, min(route * 1000 + rank) AS first FROM u GROUP BY query_id, id), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, id) AS rank FROM f)"
@@ -163,9 +157,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(s, 0)
 SELECT query_id, id, CAST(final_rank AS INTEGER) AS final_rank, answered FROM o WHERE final_rank <= 10""")
 def rerank_fallback_topk(spark, d):
     """An offline re-ranker that answers only for candidates with twenty matched tokens."""
-    every = retrieval.bm25_scores(_docs(spark, d), _questions(spark, d))
-    scores = every.filter("matched >= 20").select("query_id", "id", F.col("idf_sum").alias("s"))
-    return retrieval.rerank(rrf_two_route(spark, d), scores)
+    hits = retrieval.kept(_routes(spark, d, 2))
+    scores = hits.filter("matched >= 20").select("query_id", "id", F.col("idf_sum").alias("s")).distinct()
+    return retrieval.rerank(retrieval.fused(hits, P.POOL), scores)
 
 
 @query(f"""WITH {INDEX}, {ROUTES},
