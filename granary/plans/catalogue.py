@@ -589,9 +589,9 @@ def segment_assignment(spark, d):
 
 @query(f"WITH {INDEX} SELECT query_id, id, '[' || rank || '] ' || source || ' / ' || lang || ' #' || (id + 1) || ': ' || left(text, 100) AS citation FROM hits JOIN documents ON doc_id = id WHERE rank <= 10")
 def citation_format(spark, d):
-    docs = _t(spark, d, "documents")
-    hits = bm25_topk(spark, d).filter("rank <= 10").join(docs, F.col("id") == F.col("doc_id"))
-    return hits.select("query_id", "id", F.concat(F.format_string("[%d] %s / %s #%d: ", "rank", "source", "lang", F.col("id") + 1), F.substring("text", 1, 100)).alias("citation"))
+    docs = _t(spark, d, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 100).alias("text"))
+    hits = docs.join(retrieval.few(bm25_topk(spark, d).filter("rank <= 10")), F.col("id") == F.col("doc_id"))
+    return hits.select("query_id", "id", F.concat(F.format_string("[%d] %s / %s #%d: ", "rank", "source", "lang", F.col("id") + 1), "text").alias("citation"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(regexp_replace('<think>' || role || '</think> ' || text || '<thinking>a' || chr(10) || 'b</thinking>', '(?s)<think(?:ing)?>.*?</think(?:ing)?>\\s*', '', 'g'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS answer FROM conversations")
@@ -609,8 +609,9 @@ def json_extract(spark, d):
 
 @query(f"WITH {INDEX} SELECT query_id, string_agg(left(text, 500), chr(10) || chr(10) ORDER BY rank) AS context FROM hits JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY query_id")
 def prompt_context(spark, d):
-    hits = bm25_topk(spark, d).filter("rank <= 10").join(_docs(spark, d), F.col("id") == F.col("doc_id"))
-    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 500).alias("t")))).alias("x")).select("query_id", F.array_join("x.t", "\n\n").alias("context"))
+    docs = _t(spark, d, "documents").select("doc_id", F.substring("text", 1, 500).alias("t"))
+    hits = docs.join(retrieval.few(bm25_topk(spark, d).filter("rank <= 10")), F.col("id") == F.col("doc_id"))
+    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("x")).select("query_id", F.array_join("x.t", "\n\n").alias("context"))
 
 
 _CASES = [(missing, sorted(build.dirty({s: s != missing for s in build.STAGES}))) for missing in build.STAGES]
