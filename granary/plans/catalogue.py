@@ -88,7 +88,7 @@ def gap_filter(spark, d):
 
 
 def _vectors(spark, d):
-    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
 VEC = """
