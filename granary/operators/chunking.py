@@ -6,12 +6,13 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import profiles as P
 from granary.functions.text import strip
+from granary.operators.scan import pieces
 
 # where a chunk may end, by profile: alternatives in order of rank, each with the characters it keeps
 _ENDS = {
@@ -62,18 +63,20 @@ def windows(text: str, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP,
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP, profile: str = "latin") -> DataFrame:
-    """(doc_id, chunk_no, left, right, text) of each chunk that isn't blank, its text stripped."""
+    """(doc_id, chunk_no, left, right, text) of each chunk that isn't blank, its text stripped. A task holds the chunks of
+    some megabytes of text at once."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             rows = []
-            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 kept = [(a, z) for a, z in windows(text, size, overlap, profile) if text[a:z].strip()]
                 rows += [(doc_id, i, a, z, text[a:z].strip()) for i, (a, z) in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_no", "left", "right", "text"])
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.string())], names=["doc_id", "chunk_no", "left", "right", "text"])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return own.mapInPandas(cut, "doc_id long, chunk_no long, left long, right long, text string")
+    return own.mapInArrow(cut, "doc_id long, chunk_no long, left long, right long, text string")
 
 
 def sections(docs: DataFrame, heading: str = P.SECTION_LATIN, overview: str = "概述") -> DataFrame:
